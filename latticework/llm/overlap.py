@@ -19,7 +19,7 @@ about 3 in 10 million.
 Exact copies are one class from the start, so a hot group of copies enters a bucket once. A
 bucket is further split by the number of points and the cell of the mean point (means of
 near-same sets differ by at most eps; the evaluation side is entered in each cell within eps), so
-a bucket holds true neighbours only. Classes with many training members are salted on expansion.
+bucket pairs differ by at most eps in their means. Classes with many training members are salted on expansion.
 
 Defined results: ids that are no reference, null or unknown splits, null point sets, sets with
 null or non-finite coordinates and sets of fewer than ``least`` points take no part in the near
@@ -117,8 +117,8 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(cls, pa.binary()), pa.array(ns, pa.int32()), pa.array(pts, pa.binary())], names=["key", "cls", "n", "pts"])
 
 
-def _bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cls, n, pts, train, evals) -> (cls, train, bucket); the evaluation side stands in every near mean cell."""
+def _bands(frames: Iterator[pd.DataFrame], train: bool) -> Iterator[pd.DataFrame]:
+    """(cls, n, pts) of one side -> (cls, mx, my, bucket); the evaluation side stands in every near mean cell."""
     for f in frames:
         if not len(f):
             continue
@@ -134,18 +134,16 @@ def _bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             band = mix(band + mix(n.astype(np.uint64))[:, None] + np.arange(BANDS, dtype=np.uint64)[None])
         mean = np.stack([np.bincount(owner, points[:, a]) / n for a in (0, 1)], 1)
         out = []
-        for train in (True, False):
-            rows = np.flatnonzero(f["train" if train else "evals"].to_numpy(bool))
-            for sx in (0,) if train else (-1, 0, 1):
-                for sy in (0,) if train else (-1, 0, 1):
-                    move, base = np.array([sx, sy]) * (EPS + 1e-6), np.floor(mean[rows] / MEAN_CELL)
-                    cell = np.floor((mean[rows] + move) / MEAN_CELL).astype(np.int64)
-                    keep = ((cell != base) == (np.array([sx, sy]) != 0)).all(1)
-                    k = rows[keep]
-                    with np.errstate(over="ignore"):
-                        where = mix(cell[keep, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(cell[keep, 1].astype(np.uint64)))
-                        bucket = (band[k] ^ where[:, None]).view(np.int64)
-                    out.append(pd.DataFrame({"cls": np.repeat(f["cls"].to_numpy(object)[k], BANDS), "train": train, "bucket": bucket.ravel()}))
+        for sx in (0,) if train else (-1, 0, 1):
+            for sy in (0,) if train else (-1, 0, 1):
+                move, base = np.array([sx, sy]) * (EPS + 1e-6), np.floor(mean / MEAN_CELL)
+                cell = np.floor((mean + move) / MEAN_CELL).astype(np.int64)
+                k = np.flatnonzero(((cell != base) == (np.array([sx, sy]) != 0)).all(1))
+                with np.errstate(over="ignore"):
+                    where = mix(cell[k, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(cell[k, 1].astype(np.uint64)))
+                    bucket = (band[k] ^ where[:, None]).view(np.int64)
+                k = np.repeat(k, BANDS)
+                out.append(pd.DataFrame({"cls": f["cls"].to_numpy(object)[k], "mx": mean[k, 0], "my": mean[k, 1], "bucket": bucket.ravel()}))
         yield pd.concat(out, ignore_index=True)
 
 
@@ -247,10 +245,11 @@ def overlaps(split_members: DataFrame, descriptors: DataFrame) -> DataFrame:
     role = held.groupBy("cls").agg(F.max("train").alias("train"), F.max(F.col("valid") | F.col("test")).alias("evals"), F.sum(F.col("train").cast("long")).alias("n_train"))
     points = sets.groupBy("cls").agg(F.min(F.struct("n", "pts")).alias("p")).select("cls", "p.n", "p.pts")
     classes = materialise(points.join(role, "cls").where("train or evals"), "classes")
-    band = classes.mapInPandas(_bands, "cls binary, train boolean, bucket long")
-    left = band.where("train").select(F.col("cls").alias("cls_t"), "bucket")
-    right = band.where("not train").select(F.col("cls").alias("cls_e"), "bucket")
-    found = left.join(right, "bucket").where("cls_t != cls_e").select("cls_t", "cls_e").distinct()
+    form, near_mean = "cls binary, mx double, my double, bucket long", EPS + 1e-6
+    left = classes.where("train").select("cls", "n", "pts").mapInPandas(lambda f: _bands(f, True), form).toDF("cls_t", "mx", "my", "bucket")
+    right = classes.where("evals").select("cls", "n", "pts").mapInPandas(lambda f: _bands(f, False), form).toDF("cls_e", "ex", "ey", "bucket")
+    found = left.join(right, "bucket").where("cls_t != cls_e").where(F.abs(F.col("mx") - F.col("ex")) <= near_mean).where(F.abs(F.col("my") - F.col("ey")) <= near_mean)
+    found = found.select("cls_t", "cls_e").distinct()
     pts = classes.select("cls", "n", "pts")
     found = found.join(pts.toDF("cls_t", "n", "pts_t"), "cls_t").join(pts.select("cls", "pts").toDF("cls_e", "pts_e"), "cls_e").where(F.length("pts_t") == F.length("pts_e"))
     near = found.mapInPandas(_verify, "cls_t binary, cls_e binary")
