@@ -40,7 +40,9 @@ from latticework.session import materialise
 DIM = 64
 SAMPLE = 16_384
 LEVELS, WORDS, BEAM = 8, 32, 6
-PROBES = 6
+PROBES = 4
+#: Cells for n vectors: this times the root of n, as a power of two, 1,024 at most.
+CELLS = 4
 SPLIT = 4_096
 BLOCK, QUERIES = 8_192, 32_768
 RERANK = 48
@@ -188,6 +190,8 @@ def _assign(index, least: float | None, probes: int, hot) -> Callable:
                 yield pd.DataFrame({"role": False, "cls": cls, "cell": where[:, 0], "vec": vec, "coarse": near[:, 0], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm, "floor": floor})
                 for j in range(near.shape[1]):
                     for k in range(sub.shape[2]):
+                        if j == k == 0:  # in its own cell the base row asks
+                            continue
                         at = np.arange(len(g)) if k == 0 else np.flatnonzero(split[near[:, j]])
                         if len(at):
                             yield pd.DataFrame({"role": True, "cls": cls[at], "cell": near[at, j] * (WORDS * WORDS) + sub[at, j, k], "vec": vec[at], "coarse": 0, "codes": None, "norm": 0.0, "floor": 0.0})
@@ -196,12 +200,15 @@ def _assign(index, least: float | None, probes: int, hot) -> Callable:
 
 
 def _search(index, least: float | None, k: int) -> Callable:
-    """All vectors of a cell and all that look into it -> (a, b, similarity): for each that looks, its k best."""
+    """All vectors of a cell and all that look into it -> (a, b, similarity): for each that looks, its k best.
+
+    The vectors of the cell itself look too, unless the cell was cut; then they come as rows of their own.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         ix = index.value
         role = g["role"].to_numpy(bool)
-        base, ask = g[~role], g[role]
+        base, ask = g[~role], g[role] if g["cut"].iloc[0] else g
         none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})
         if not len(base) or not len(ask):
             return none
@@ -252,10 +259,11 @@ def _blocks(both: DataFrame) -> DataFrame:
     large = counts.where((F.col("n") > BLOCK) | (F.col("m") > QUERIES))
     large = large.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("mb"))
     if large.isEmpty():
-        return both.withColumn("part", F.lit(0))
+        return both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
+    both = both.unionByName(both.where("not role").join(large.select("cell"), "cell", "left_semi").withColumn("role", F.lit(True)))
     own = F.expr("pmod(hash(cls), if(role, mb, nb))")
     parts = F.expr("if(role, transform(sequence(0, nb - 1), i -> i * mb + own), transform(sequence(0, mb - 1), j -> own * mb + j))")
-    cut = both.join(F.broadcast(large) if large.count() <= 10_000 else large, "cell", "left").fillna(1, ["nb", "mb"])
+    cut = both.join(large, "cell", "left").withColumn("cut", F.col("nb").isNotNull()).fillna(1, ["nb", "mb"])
     return cut.withColumn("own", own).withColumn("part", F.explode(parts)).drop("own", "nb", "mb")
 
 
@@ -269,7 +277,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     if not taken:
         return spark.createDataFrame([], "a long, b long, sim double")
     x = normalised(np.frombuffer(b"".join(bytes(r[0]) for r in taken), "<f4").reshape(len(taken), -1))
-    n_cells = int(2 ** np.clip(round(math.log2(max(math.sqrt(n), 1))), 0, 10))
+    n_cells = int(2 ** np.clip(round(math.log2(max(CELLS * math.sqrt(n), 1))), 0, 10))
     index = Index.fit(x, min(n_cells, max(1, len(x) // 4)))
     # expected rows a cell, from the sample: a cell expected to hold more than SPLIT is split
     held = np.bincount(Index._nearest(x, index.cells), minlength=len(index.cells)) * (n / len(x))
@@ -277,7 +285,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     index_b, hot_b = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(hot)
     both = classes.mapInPandas(_assign(index_b, least, probes, hot_b), "role boolean, cls long, cell long, vec binary, coarse long, codes binary, norm float, floor float")
     both = materialise(both, "cells") if n > 1_000_000 or hot.any() else both
-    cut = _blocks(both) if n > BLOCK else both.withColumn("part", F.lit(0))
+    cut = _blocks(both) if hot.any() else both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
     found = cut.groupBy("cell", "part").applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
