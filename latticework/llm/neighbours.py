@@ -46,6 +46,8 @@ CELLS = 4
 SPLIT = 4_096
 BLOCK, QUERIES = 8_192, 32_768
 RERANK = 48
+#: Rows that go to one call of the search, of several cells.
+BUCKET = 6_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -205,7 +207,10 @@ def _search(index, least: float | None, k: int) -> Callable:
     The vectors of the cell itself look too, unless the cell was cut; then they come as rows of their own.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(g) for _, g in bucket.groupby(["cell", "part"], sort=False)], ignore_index=True)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
         ix = index.value
         role = g["role"].to_numpy(bool)
         base, ask = g[~role], g[role] if g["cut"].iloc[0] else g
@@ -234,9 +239,13 @@ def _search(index, least: float | None, k: int) -> Callable:
                 a = np.tile(np.arange(len(q)), r)
             other = ids[b] != who[a]
             a, b = a[other], b[other]
+            if least is not None:  # in single precision first, with room for its error
+                near = [np.einsum("ij,ij->i", q[a[t : t + 100_000]], x[b[t : t + 100_000]]) >= least - 1e-4 for t in range(0, len(a), 100_000)]
+                keep = np.concatenate([np.zeros(0, bool), *near])
+                a, b = a[keep], b[keep]
             sim = np.empty(len(a))
-            for t in range(0, len(a), 200_000):
-                u = slice(t, t + 200_000)
+            for t in range(0, len(a), 100_000):
+                u = slice(t, t + 100_000)
                 sim[u] = np.einsum("ij,ij->i", q[a[u]].astype(np.float64), x[b[u]].astype(np.float64))
             if least is not None:
                 keep = sim >= least
@@ -286,7 +295,8 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     both = classes.mapInPandas(_assign(index_b, least, probes, hot_b), "role boolean, cls long, cell long, vec binary, coarse long, codes binary, norm float, floor float")
     both = materialise(both, "cells") if n > 1_000_000 or hot.any() else both
     cut = _blocks(both) if hot.any() else both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
-    found = cut.groupBy("cell", "part").applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
+    buckets = max(8, n * (probes + 1) // BUCKET)
+    found = cut.groupBy(F.expr(f"pmod(xxhash64(cell, part), {buckets})").alias("bucket")).applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
