@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_QUERY_MODULES = ("q_overlap", "q_neighbours", "q_sampling", "q_subset", "q_packing", "q_residue")
+_QUERY_MODULES = ("q_overlap", "q_neighbours", "q_sampling", "q_subset", "q_packing", "q_mixing", "q_residue")
 
 
 def query_modules() -> list:
