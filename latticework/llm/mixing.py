@@ -120,6 +120,6 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.V
     there = held.groupBy("source").agg(F.count(F.lit(1)).alias("documents_there"), F.sum("n_tokens").alias("tokens_there"))
     reached = out.groupBy("source").agg(F.count(F.lit(1)).alias("documents_used"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens_used"), F.max("uses").alias("most_uses"))
     told = F.broadcast(target).join(there, "source", "left").join(reached, "source", "left").fillna(0)
-    share = F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))
+    share = F.try_divide("tokens_used", F.sum("tokens_used").over(Window.partitionBy(F.lit(1))))
     told = told.withColumn("share_reached", F.round(F.coalesce(share, F.lit(0.0)), 6)).withColumn("shortfall_tokens", F.greatest(F.col("quota_tokens") - F.col("tokens_used"), F.lit(0)))
     return out, told

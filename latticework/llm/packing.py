@@ -150,7 +150,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP) -> DataFra
     packs = capacities.select("pack_id", F.col("capacity").cast("long").alias("capacity")).where("pack_id is not null and capacity > 0").distinct()
     if packs.limit(MOST_PACKS + 1).count() > MOST_PACKS:
         raise ValueError(f"more than {MOST_PACKS} capacities")
-    items = sizes.where("n_tokens > 0").join(F.broadcast(packs))
+    items = sizes.select("doc_id", "n_tokens").where("n_tokens > 0").join(F.broadcast(packs))
     parts = F.expr("transform(sequence(0, cast((n_tokens - 1) div capacity as int)), i -> struct(i as piece, i * capacity as first_token, least(capacity, n_tokens - i * capacity) as size))")
     items = items.select("pack_id", "capacity", "doc_id", F.explode(parts).alias("p")).select("pack_id", "capacity", "doc_id", "p.piece", "p.first_token", F.col("p.size").alias("n_tokens"))
     counts = items.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -168,4 +168,4 @@ def pack_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     )
     caps = capacities.select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity").cast("long").alias("capacity")).distinct()
     out = F.broadcast(caps).join(bins, "pack_id", "left").fillna(0)
-    return out.select("pack_id", "capacity", "n_documents", "n_divided", "n_tokens", "n_bins", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6).alias("share_used"))
+    return out.select("pack_id", "capacity", "n_documents", "n_divided", "n_tokens", "n_bins", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_bins"), F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.col("n_bins") * F.col("capacity")), F.lit(0.0)), 6).alias("share_used"))
