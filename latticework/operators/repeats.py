@@ -33,7 +33,7 @@ def any_earlier(df: DataFrame, group: list[str], order: str, vector: str, dim: i
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     width = 2 * reach
     size = norm(F.col(vector))
-    unit = df.select(*group, order, F.transform(vector, lambda x: x.cast("double") / size).alias("u")).where(F.size("u") == dim).where(~F.exists("u", lambda x: x.isNull() | F.isnan(x)))
+    unit = df.select(*group, order, F.transform(vector, lambda x: F.try_divide(x.cast("double"), size)).alias("u")).where(F.size("u") == dim).where(~F.exists("u", lambda x: x.isNull() | F.isnan(x)))
     flat = [dot(F.col("u"), F.array(*[F.lit(float(w)) for w in axis])) for axis in _axes(dim)]
     held = unit.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(flat)])
     base = held.select(*group, F.col(order).alias("_a"), F.col("u").alias("_ua"), *[F.floor(F.col(f"_p{i}") / width).alias(f"_c{i}") for i in range(AXES)])

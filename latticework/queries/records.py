@@ -43,7 +43,7 @@ def flag_filter_remaining(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _filters() -> dict:
-    return {"atom_count": ~F.col("n_atoms").between(8, 32), "positive_energy": F.col("energy") > 0, "high_energy": F.col("energy") / F.col("n_atoms") > -3.4, "no_phase": F.col("phase").isNull()}
+    return {"atom_count": ~F.col("n_atoms").between(8, 32), "positive_energy": F.col("energy") > 0, "high_energy": F.try_divide("energy", "n_atoms") > -3.4, "no_phase": F.col("phase").isNull()}
 
 
 _REASONS = SQL_FLAGGED + """, g as (select *, case when not isolated_atom and n_atoms not between 8 and 32 then 'atom_count' end as a, case when not isolated_atom and energy > 0 then 'positive_energy' end as b,
