@@ -150,7 +150,7 @@ def average_kernel(df: DataFrame, ident: str, matrix: str, sigma: float) -> Data
         return float(np.exp(-((a[:, None] - b[None]) ** 2).sum(2) / (2 * sigma * sigma)).mean())
 
     own = [k(m, m) for m in mats]
-    out = [(rows[i][ident], rows[j][ident], k(mats[i], mats[j]) / np.sqrt(own[i] * own[j]) if own[i] > 0 and own[j] > 0 else 0.0) for i in range(len(rows)) for j in range(i, len(rows))]
+    out = [(rows[i][ident], rows[j][ident], float(k(mats[i], mats[j]) / np.sqrt(own[i] * own[j])) if own[i] > 0 and own[j] > 0 else 0.0) for i in range(len(rows)) for j in range(i, len(rows))]
     kind = dict(df.dtypes)[ident]
     return df.sparkSession.createDataFrame(out, f"a {kind}, b {kind}, kernel double")
 
