@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,5 +58,28 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once per application, by way of the shared folder."""
+    app = spark.sparkContext.applicationId
+    if _LOCAL.get("shipped") == app:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join(os.path.basename(here), os.path.relpath(full, here)))
+    path = f"{scratch_root(spark)}/{os.path.basename(here)}-{uuid.uuid4().hex}.zip"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+    _LOCAL["shipped"] = app
+
+
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{where}/{name}.parquet")
