@@ -13,7 +13,7 @@ from latticework.session import materialise, table
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     runs, structures = table(spark, d, "dft_runs"), table(spark, d, "structures")
     refs = op.references(runs, F.col("calc_uuid"), id_key("atl_id"), F.col("recorded_at"))
-    present = op.presence(structures, id_key("atl_id"), F.col("recorded_at"), F.col("removed_at"))
+    present = materialise(op.presence(structures, id_key("atl_id"), F.col("recorded_at"), F.col("removed_at")), "present")
     return refs, present, op.heavy_keys(runs, id_key("atl_id"))
 
 
@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     refs, present, heavy = _parts(spark, d)
-    refs, present = materialise(refs, "refs"), materialise(present, "present")
+    refs = materialise(refs, "refs")
     return op.orphan_report(refs, present, op.orphans(refs, present, heavy), "dft_runs")
 
 
