@@ -174,7 +174,7 @@ def split_train_valid_test(spark: SparkSession, d: str) -> DataFrame:
     return K.split(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), {"train": 0.8, "valid": 0.1, "test": 0.1}, 9, "id").select("id", "part")
 
 
-@query("select s_suppkey as id, s_nationkey as grp, ntile(3) over (partition by s_nationkey order by s_suppkey) as chunk from supplier")
+@query("select s_suppkey as id, s_nationkey as grp, ntile(3) over (partition by s_nationkey order by s_suppkey)::int as chunk from supplier")
 def chunked(spark: SparkSession, d: str) -> DataFrame:
     return K.chunks(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("grp")), 3, ["grp"], "id")
 

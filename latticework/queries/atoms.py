@@ -120,7 +120,7 @@ def replacement(spark: SparkSession, d: str) -> DataFrame:
     return A.replaced(_a(spark, d), "Ni", "Cu", F.lit(2), 2).select("id", "idx", "element")
 
 
-@query("select p_partkey as id, a, b, c, (p_size * a * b * c)::int as total from part, (select unnest(range(1, 6)) as a), (select unnest(range(1, 6)) as b), (select unnest(range(1, 6)) as c) where p_size * a * b * c > 40 and p_size * a * b * c < 80")
+@query("select p_partkey as id, a::int as a, b::int as b, c::int as c, (p_size * a * b * c)::int as total from part, (select unnest(range(1, 6)) as a), (select unnest(range(1, 6)) as b), (select unnest(range(1, 6)) as c) where p_size * a * b * c > 40 and p_size * a * b * c < 80")
 def supercells(spark: SparkSession, d: str) -> DataFrame:
     return A.supercells(table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "p_size", 40, 80).select("id", "a", "b", "c", "total")
 
@@ -130,7 +130,7 @@ def magic_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.posexplode(A.magic_numbers()).alias("n", "atoms")).select((F.col("n") + 1).cast("long").alias("n"), "atoms")
 
 
-@query("select distinct regexp_extract(x, '^([A-Z][a-z]?)', 1) as element, 10.0 as vacuum from (select unnest(regexp_extract_all(formula, '[A-Z][a-z]?\\d*')) as x from structures)")
+@query("select distinct regexp_extract(x, '^([A-Z][a-z]?)', 1) as element, 10.0::double as vacuum from (select unnest(regexp_extract_all(formula, '[A-Z][a-z]?\\d*')) as x from structures)")
 def isolated_atoms(spark: SparkSession, d: str) -> DataFrame:
     from latticework.functions.scalar import composition
 
@@ -138,7 +138,7 @@ def isolated_atoms(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("vacuum", F.lit(10.0))
 
 
-@query("select phase, param, value, value = max(value) over (partition by param) as is_ref from (select distinct coalesce(lower(trim(phase)), 'unknown') as phase from structures), (select 'encut' as param, unnest([300.0, 400.0, 500.0]) as value union all select 'kspacing', unnest([0.2, 0.3]))")
+@query("select phase, param, value::double as value, value = max(value) over (partition by param) as is_ref from (select distinct coalesce(lower(trim(phase)), 'unknown') as phase from structures), (select 'encut' as param, unnest([300.0, 400.0, 500.0]) as value union all select 'kspacing', unnest([0.2, 0.3]))")
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     phases = table(spark, d, "structures").select(F.coalesce(F.lower(F.trim("phase")), F.lit("unknown")).alias("phase")).distinct()
     grid = [("encut", v, v == 500.0) for v in (300.0, 400.0, 500.0)] + [("kspacing", v, v == 0.3) for v in (0.2, 0.3)]

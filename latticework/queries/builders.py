@@ -64,7 +64,7 @@ def replacement_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.round(B.percentage(0.6, 1.0, 0.02, 12, "p_partkey"), 6).alias("share"), B.replacements_to_fit(F.col("p_size"), F.col("p_partkey") % 40, 0.3, 0.6).alias("change"))
 
 
-@query("with s as (select avg(p_size) as m1, stddev_pop(p_size) as s1, avg(p_retailprice) as m2, stddev_pop(p_retailprice) as s2 from part) select p_partkey as id, round((p_size - m1) / s1, 6) as f1, round((p_retailprice - m2) / s2, 6) as f2, 0.0 as f3 from part, s")
+@query("with s as (select avg(p_size) as m1, stddev_pop(p_size) as s1, avg(p_retailprice) as m2, stddev_pop(p_retailprice) as s2 from part) select p_partkey as id, round((p_size - m1) / s1, 6) as f1, round((p_retailprice - m2) / s2, 6) as f2, 0.0::double as f3 from part, s")
 def features(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_retailprice", F.lit(3.0).alias("same"))
     f = F.col("features")

@@ -107,7 +107,7 @@ def strategy_fps(spark: SparkSession, d: str) -> DataFrame:
     return C.select(e, "fps", 8, ident="vec_id", vector="v", start=first).select("vec_id")
 
 
-@query("with s as (select 'encut' as param, unnest([300.0, 500.0, 400.0]) as value union all select 'kspacing', unnest([0.2, 0.4, 0.3])) select param, value, row_number() over (partition by param order by case when param = 'kspacing' then -value else value end)::int as rank from s")
+@query("with s as (select 'encut' as param, unnest([300.0, 500.0, 400.0]) as value union all select 'kspacing', unnest([0.2, 0.4, 0.3])) select param, value::double as value, row_number() over (partition by param order by case when param = 'kspacing' then -value else value end)::int as rank from s")
 def cheap_first(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -145,7 +145,7 @@ def arc_length(spark: SparkSession, d: str) -> DataFrame:
     return s.select("path", "id", F.round("s", 6).alias("arc"), F.round(F.col("s") / total, 6).alias("part"))
 
 
-@query("select p_brand as grp, p_partkey as id, row_number() over w as rank, round((count(*) over (partition by p_brand) - row_number() over w) / count(*) over (partition by p_brand)::double, 6) as score from part window w as (partition by p_brand order by p_retailprice desc, p_partkey)")
+@query("select p_brand as grp, p_partkey as id, (row_number() over w)::int as rank, round((count(*) over (partition by p_brand) - row_number() over w) / count(*) over (partition by p_brand)::double, 6) as score from part window w as (partition by p_brand order by p_retailprice desc, p_partkey)")
 def rank_scores(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("p_brand")
     r = F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey"))
@@ -153,7 +153,7 @@ def rank_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), r.alias("rank"), F.round((n - r) / n, 6).alias("score"))
 
 
-@query("select run_id, iteration, round(5.0 + 45.0 * pow(0.8, iteration), 6) as rmse, round(100 + (iteration - 1) * 20.0, 6) as temperature from (select distinct run_id, iteration from al_iterations where run_id is not null)")
+@query("select run_id, iteration, round(5.0 + 45.0 * pow(0.8, iteration), 6) as rmse, round(100 + (iteration - 1) * 20.0::double, 6) as temperature from (select distinct run_id, iteration from al_iterations where run_id is not null)")
 def mock_decay(spark: SparkSession, d: str) -> DataFrame:
     from latticework.functions.scalar import decay
 
