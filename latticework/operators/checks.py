@@ -157,7 +157,7 @@ def average_kernel(df: DataFrame, ident: str, matrix: str, sigma: float) -> Data
 
 def sphere(n: int, spacing: float, seed: int = 0) -> pd.DataFrame:
     """(idx, x, y, z): n atoms packed in a sphere, none closer than the spacing allows: the n lattice points nearest to a seeded centre."""
-    side = int(np.ceil((2 * n) ** (1 / 3))) + 2
+    side = int(np.ceil((3 * n / (16 * np.pi)) ** (1 / 3))) + 2  # four atoms a cubic cell
     a = spacing * np.sqrt(2)
     base = np.array([[0, 0, 0], [0, 0.5, 0.5], [0.5, 0, 0.5], [0.5, 0.5, 0]])
     grid = np.array(np.meshgrid(*[np.arange(-side, side)] * 3)).reshape(3, -1).T
@@ -175,7 +175,7 @@ def clusters(spark, requests: DataFrame, spacing: float) -> DataFrame:
             for r in f.itertuples():
                 yield sphere(int(r.n), spacing, int(r.id)).assign(id=r.id, element=r.element)[["id", "idx", "element", "x", "y", "z"]]
 
-    return requests.select(F.col("id").cast("long").alias("id"), "element", "n").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
+    return requests.select(F.col("id").cast("long").alias("id"), "element", "n").repartition("id").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
 
 
 def with_adsorbate(atoms: DataFrame, exposed_atoms: DataFrame, element: str, height: float, seed: int) -> DataFrame:

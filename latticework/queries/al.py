@@ -41,10 +41,10 @@ def committee_variance(spark: SparkSession, d: str) -> DataFrame:
     return _preds(spark, d).groupBy("frame").agg(F.round(F.var_pop("energy"), 6).alias("v_energy"), F.round(F.var_pop("fz"), 6).alias("v_force"))
 
 
-@query(f"with {P} select frame, round(max(sqrt(fx*fx+fy*fy+fz*fz)), 6) as max_force, round(avg(sqrt(fx*fx+fy*fy+fz*fz)), 6) as mean_force from p group by frame")
+@query(f"with {P} select frame, round(max(sqrt(fx*fx+fy*fy+fz*fz)), 4) as max_force, round(avg(sqrt(fx*fx+fy*fy+fz*fz)), 4) as mean_force from p group by frame")
 def committee_force_size(spark: SparkSession, d: str) -> DataFrame:
     size = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy") + F.col("fz") * F.col("fz"))
-    return _preds(spark, d).groupBy("frame").agg(F.round(F.max(size), 6).alias("max_force"), F.round(F.avg(size), 6).alias("mean_force"))
+    return _preds(spark, d).groupBy("frame").agg(F.round(F.max(size), 4).alias("max_force"), F.round(F.avg(size), 4).alias("mean_force"))
 
 
 @query(f"with {P}, s as (select frame, model, sum(fx) as fx, sum(fy) as fy from p group by 1, 2) select frame, round(coalesce(stddev_samp(fx), 0), 6) as sx, round(coalesce(stddev_samp(fy), 0), 6) as sy from s group by frame")

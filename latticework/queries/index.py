@@ -109,11 +109,11 @@ def index_filter(spark: SparkSession, d: str) -> DataFrame:
     return df.where(keep & (F.col("n_atoms").isNull() | F.col("n_atoms").between(4, 40))).select("atl_id", "n_atoms", "recorded_at")
 
 
-@query(f"""with r as (select {KEY} as key, * exclude (atl_id), row_number() over (partition by {KEY} order by recorded_at desc, removed_at is null desc, atl_id) as k from structures)
+@query(f"""with r as (select {KEY} as key, * exclude (atl_id), row_number() over (partition by {KEY} order by recorded_at desc, removed_at is null desc, atl_id, coalesce(formula, ''), coalesce(n_atoms, -1), coalesce(calc_performed, -1)) as k from structures)
 select key, formula, n_atoms, calc_performed, recorded_at from r where k = 1 and key is not null""")
 def index_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "structures").withColumn("key", id_key("atl_id")).where("key is not null")
-    last = R.keep_first(df, ["key"], F.desc("recorded_at"), F.desc(F.col("removed_at").isNull()), "atl_id")
+    last = R.keep_first(df, ["key"], F.desc("recorded_at"), F.desc(F.col("removed_at").isNull()), "atl_id", F.coalesce("formula", F.lit("")), F.coalesce("n_atoms", F.lit(-1)), F.coalesce("calc_performed", F.lit(-1)))
     return last.select("key", "formula", "n_atoms", "calc_performed", "recorded_at")
 
 

@@ -136,13 +136,13 @@ def layer_gaps(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("id").agg((F.max("z") - F.min("z")).alias("thickness"), F.max("gap").alias("max_gap"), ((F.count("gap") >= 2) & (F.max("gap") - F.min("gap") <= 0.001)).alias("equal_layers"))
 
 
-@query("with p as (select user_id as path, event_id as id, value as x, lag(value) over w as px, row_number() over w as k from events window w as (partition by user_id order by ts, event_id)), c as (select *, sum(coalesce(abs(x - px), 0)) over (partition by path order by k) as s from p) select path, id, round(s, 6) as arc, round(s / nullif(max(s) over (partition by path), 0), 6) as part from c")
+@query("with p as (select user_id as path, event_id as id, value as x, lag(value) over w as px, row_number() over w as k from events window w as (partition by user_id order by ts, event_id)), c as (select *, sum(coalesce(abs(x - px), 0)) over (partition by path order by k) as s from p) select path, id, round(s, 6) as arc, round(s / nullif(max(s) over (partition by path), 0), 9) as part from c")
 def arc_length(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("id"), F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)).alias("step"), F.row_number().over(w).alias("k"))
     s = e.withColumn("s", F.sum("step").over(Window.partitionBy("path").orderBy("k")))
     total = F.nullif(F.max("s").over(Window.partitionBy("path")), F.lit(0.0))
-    return s.select("path", "id", F.round("s", 6).alias("arc"), F.round(F.col("s") / total, 6).alias("part"))
+    return s.select("path", "id", F.round("s", 6).alias("arc"), F.round(F.col("s") / total, 9).alias("part"))
 
 
 @query("select p_brand as grp, p_partkey as id, (row_number() over w)::int as rank, round((count(*) over (partition by p_brand) - row_number() over w) / count(*) over (partition by p_brand)::double, 6) as score from part window w as (partition by p_brand order by p_retailprice desc, p_partkey)")
