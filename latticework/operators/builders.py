@@ -92,7 +92,7 @@ def slabs(bulks: DataFrame, most: int, layers: int, vacuum: float) -> DataFrame:
                 area = float(np.linalg.norm(np.cross(cell[0], cell[1])))
                 yield pd.DataFrame({"id": r.id, "plane": "".join(str(int(i)) for i in r.plane), "idx": range(len(pos)), "element": r.element, "x": pos[:, 0], "y": pos[:, 1], "z": pos[:, 2], "area": area})
 
-    return work.repartition("id").mapInPandas(run, f"id {dict(bulks.dtypes)['id']}, plane string, idx int, element string, x double, y double, z double, area double")
+    return work.repartition(int(bulks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, f"id {dict(bulks.dtypes)['id']}, plane string, idx int, element string, x double, y double, z double, area double")
 
 
 def vacuum_wrong(height: Column, atoms_height: Column, wanted: Column, tolerance: float = 0.5) -> Column:

@@ -175,7 +175,7 @@ def clusters(spark, requests: DataFrame, spacing: float) -> DataFrame:
             for r in f.itertuples():
                 yield sphere(int(r.n), spacing, int(r.id)).assign(id=r.id, element=r.element)[["id", "idx", "element", "x", "y", "z"]]
 
-    return requests.select(F.col("id").cast("long").alias("id"), "element", "n").repartition("id").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
+    return requests.select(F.col("id").cast("long").alias("id"), "element", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
 
 
 def with_adsorbate(atoms: DataFrame, exposed_atoms: DataFrame, element: str, height: float, seed: int) -> DataFrame:
