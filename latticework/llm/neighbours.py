@@ -296,7 +296,9 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     both = materialise(both, "cells") if n > 1_000_000 or hot.any() else both
     cut = _blocks(both) if hot.any() else both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
     buckets = max(8, n * (probes + 1) // BUCKET)
-    found = cut.groupBy(F.expr(f"pmod(xxhash64(cell, part), {buckets})").alias("bucket")).applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
+    cut = cut.withColumn("bucket", F.expr(f"pmod(xxhash64(cell, part), {buckets})"))
+    tasks = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))  # stated: the work is not in the bytes
+    found = cut.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 

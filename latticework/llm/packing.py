@@ -157,7 +157,10 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP) -> DataFra
     dealt = F.create_map(*[F.lit(x) for r in counts for x in (r["pack_id"], -(-r["n"] // group))]) if counts else F.create_map(F.lit(0), F.lit(1))
     items = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(dealt.cast("map<int,bigint>"), F.col("pack_id").cast("int"))))
     form = "pack_id int, capacity long, doc_id long, piece int, first_token long, n_tokens long, grp long, bin long"
-    packed = items.select(F.col("pack_id").cast("int").alias("pack_id"), "capacity", "doc_id", "piece", F.col("first_token").cast("long").alias("first_token"), F.col("n_tokens").cast("long").alias("n_tokens"), "grp").groupBy("pack_id", "grp").applyInPandas(_pack, form)
+    packed = items.select(F.col("pack_id").cast("int").alias("pack_id"), "capacity", "doc_id", "piece", F.col("first_token").cast("long").alias("first_token"), F.col("n_tokens").cast("long").alias("n_tokens"), "grp")
+    # a stated number of partitions: rows are few for the work they make, and would be put into one task
+    parts = min(sum(-(-r["n"] // group) for r in counts) or 1, 10_000)
+    packed = packed.repartition(parts, "pack_id", "grp").groupBy("pack_id", "grp").applyInPandas(_pack, form)
     return packed.select("pack_id", F.format_string("%d-%d-%d", "pack_id", "grp", "bin").alias("bin_id"), "doc_id", "piece", "first_token", "n_tokens")
 
 
