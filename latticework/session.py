@@ -80,6 +80,12 @@ def ship(spark: SparkSession) -> None:
     _LOCAL["shipped"] = app
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is not in the bytes: a scan of fewer splits than there are cores is dealt out to all; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, where: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{where}/{name}.parquet")
