@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from latticework.functions.vector import euclidean
 
+MOST_TARGETS = 1_000
+
 
 def neighbourhood(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """For each target (tid, tx, ty): number of points (x, y) within the radius and the least distance among them (null: none)."""
@@ -26,7 +28,16 @@ def neighbourhood(targets: DataFrame, points: DataFrame, radius: float) -> DataF
 
 
 def nearest_to(targets: DataFrame, rows: DataFrame, vector: str, k: int, *ids: str) -> DataFrame:
-    """The k rows nearest to each of a small stated set of targets (tid, target). Each map task keeps k per target before the shuffle."""
-    d = rows.join(F.broadcast(targets)).withColumn("dist", euclidean(F.col(vector), F.col("target")))
+    """The k rows nearest to each of a small stated set of targets (tid, target). Each map task keeps k per target before the shuffle.
+
+    The targets are read behind a check of their number and become literals of the plan: nothing is joined.
+    """
+    given = targets.select("tid", F.col("target").cast("array<double>").alias("target")).limit(MOST_TARGETS + 1).collect()
+    if len(given) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    if not given:
+        return rows.where(F.lit(False)).select("*", F.lit(None).cast(targets.schema["tid"].dataType).alias("tid"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    each = F.array(*[F.struct(F.lit(t["tid"]).cast(targets.schema["tid"].dataType).alias("tid"), F.array(*[F.lit(float(v)) for v in t["target"]]).alias("target")) for t in given])
+    d = rows.select("*", F.inline(each)).withColumn("dist", euclidean(F.col(vector), F.col("target")))
     w = Window.partitionBy("tid").orderBy("dist", *ids)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("target")
