@@ -13,6 +13,8 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from latticework.session import spread
+
 #: Default vocabulary file; every operator that counts tokens takes another as a parameter.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level vocabularies of this kind cut a text into words.
@@ -53,4 +55,4 @@ def sizes(documents: DataFrame, vocabulary: str = VOCABULARY, keep: tuple[str, .
             yield f[["doc_id", "n_tokens", *keep]]
 
     form = "doc_id long, n_tokens long" + "".join(f", {c} {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select("doc_id", "text", *keep).mapInPandas(run, form)
+    return spread(documents.select("doc_id", "text", *keep)).mapInPandas(run, form)
