@@ -15,8 +15,8 @@ for both. So the only loss comes from cells that neither side looks into; it is
 brute force in the tests and in the README.
 
 Skew: vectors of equal content are one class from the start (a hot group of copies is searched
-once). A cell of more than SPLIT vectors is split by the nearest sum of words of the first two
-levels, and cells still larger are cut into blocks on both sides.
+once). Where a cell is expected to hold more than SPLIT vectors, cells are counted and those too
+large for one task are cut into blocks on both sides, all of which meet; so no cut loses a pair.
 
 Defined results: vectors that are null, of another length, with null or non-finite numbers or all
 zero take no part; an id with several vectors counts by its earliest row; equal similarities are
@@ -95,10 +95,6 @@ class Index:
         best = np.argpartition(-score, p - 1, axis=1)[:, :p]
         return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
 
-    def pairs(self) -> np.ndarray:
-        """The WORDS^2 sums of words of the first two levels."""
-        return (self.words[0][:, None] + self.words[1][None]).reshape(-1, self.words.shape[2])
-
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Beam search: the codes (n x LEVELS) whose words best sum up to x less its cell."""
         rest = x - self.cells[cell]
@@ -165,12 +161,11 @@ def vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
     return one.mapInPandas(_unit, "key string, vec binary")
 
 
-def _assign(index, least: float | None, probes: int, hot) -> Callable:
-    """(cls, vec) -> a row of the base side (its cell, codes and norms) and one of the query side for each cell looked into."""
+def _assign(index, least: float | None, probes: int) -> Callable:
+    """(cls, vec) -> a row of the base side (its cell, codes and norms) and one of the query side for each other cell looked into."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix, split = index.value, hot.value
-        twos = ix.pairs() if split.any() else None
+        ix = index.value
         for f in frames:
             for s in range(0, len(f), 4_096):
                 g = f.iloc[s : s + 4_096]
@@ -179,24 +174,9 @@ def _assign(index, least: float | None, probes: int, hot) -> Callable:
                 codes = ix.encode(x, near[:, 0])
                 norm, floor = ix.stored(x, near[:, 0], codes, least)
                 cls, vec = g["cls"].to_numpy(), np.array([r.tobytes() for r in x], object)
-                sub = np.zeros(near.shape + (1,), np.int64)
-                if twos is not None:
-                    sub = np.zeros(near.shape + (probes,), np.int64)
-                    for j in range(near.shape[1]):
-                        at = np.flatnonzero(split[near[:, j]])
-                        rest = x[at] - ix.cells[near[at, j]]
-                        score = rest @ twos.T - 0.5 * (twos * twos).sum(1)
-                        best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-                        sub[at, j] = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), 1), 1)
-                where = near * (WORDS * WORDS) + sub[:, :, 0]
-                yield pd.DataFrame({"role": False, "cls": cls, "cell": where[:, 0], "vec": vec, "coarse": near[:, 0], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm, "floor": floor})
-                for j in range(near.shape[1]):
-                    for k in range(sub.shape[2]):
-                        if j == k == 0:  # in its own cell the base row asks
-                            continue
-                        at = np.arange(len(g)) if k == 0 else np.flatnonzero(split[near[:, j]])
-                        if len(at):
-                            yield pd.DataFrame({"role": True, "cls": cls[at], "cell": near[at, j] * (WORDS * WORDS) + sub[at, j, k], "vec": vec[at], "coarse": 0, "codes": None, "norm": 0.0, "floor": 0.0})
+                yield pd.DataFrame({"role": False, "cls": cls, "cell": near[:, 0], "vec": vec, "coarse": near[:, 0], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm, "floor": floor})
+                for j in range(1, near.shape[1]):  # in its own cell the base row asks
+                    yield pd.DataFrame({"role": True, "cls": cls, "cell": near[:, j], "vec": vec, "coarse": 0, "codes": None, "norm": 0.0, "floor": 0.0})
 
     return run
 
@@ -288,11 +268,11 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     x = normalised(np.frombuffer(b"".join(bytes(r[0]) for r in taken), "<f4").reshape(len(taken), -1))
     n_cells = int(2 ** np.clip(round(math.log2(max(CELLS * math.sqrt(n), 1))), 0, 10))
     index = Index.fit(x, min(n_cells, max(1, len(x) // 4)))
-    # expected rows a cell, from the sample: a cell expected to hold more than SPLIT is split
+    # expected rows a cell, from the sample: where one is expected to hold more than SPLIT, cells are counted and cut
     held = np.bincount(Index._nearest(x, index.cells), minlength=len(index.cells)) * (n / len(x))
     hot = held > SPLIT
-    index_b, hot_b = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(hot)
-    both = classes.mapInPandas(_assign(index_b, least, probes, hot_b), "role boolean, cls long, cell long, vec binary, coarse long, codes binary, norm float, floor float")
+    index_b = spark.sparkContext.broadcast(index)
+    both = classes.mapInPandas(_assign(index_b, least, probes), "role boolean, cls long, cell long, vec binary, coarse long, codes binary, norm float, floor float")
     both = materialise(both, "cells") if n > 1_000_000 or hot.any() else both
     cut = _blocks(both) if hot.any() else both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
     buckets = max(8, n * (probes + 1) // BUCKET)

@@ -90,6 +90,18 @@ def test_pruning_loses_nothing_and_cut_cells_agree(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
 
 
+def test_hot_cells_lose_no_pair_of_those_that_small_ones_find(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(600, 64)).astype(np.float32)  # evenly spread, nothing is near
+    ids = [f"id{i:04d}" for i in range(len(x))]
+    rows = [(i, v.tolist(), None) for i, v in zip(ids, x, strict=True)]
+    whole, least = near(spark, rows, k=5, probes=8), near(spark, rows, k=5, least=0.3, probes=8)
+    for name, value in (("SPLIT", 2), ("BLOCK", 4), ("QUERIES", 12)):
+        monkeypatch.setattr(N, name, value)
+    assert near(spark, rows, k=5, least=0.3, probes=8) == least
+    want = brute(ids, x.astype(float), 5, -2)
+    assert len(near(spark, rows, k=5, probes=8) & want) >= len(whole & want) > 0
+
+
 def test_beam_beats_the_greedy_choice():
     rng = np.random.default_rng(6)
     x = N.normalised(rng.normal(size=(800, 64)).astype(np.float32))
