@@ -1,8 +1,9 @@
 """Diversity of a set of vectors: Vendi scores, circles, farthest points.
 
 The linear Vendi score needs only the d x d second moments, which one aggregation gives for any
-number of rows. The kernel version is defined on a subsample of stated size, and greedy packings are
-sequential by definition: both run in one task on at most LIMIT rows and refuse more.
+number of rows. The kernel version is defined on a subsample of stated size: it runs in one task on
+at most LIMIT rows and refuses more. Greedy packings are sequential by definition: they go by rounds
+of at most LIMIT rows in one task, for any number of rows.
 """
 
 from __future__ import annotations
@@ -102,36 +103,54 @@ def farthest(df: DataFrame, ident: str, vector: str, n: int, start: np.ndarray |
     return spark.createDataFrame(out, f"{ident} {dict(df.dtypes)[ident]}, rank int, distance double")
 
 
-def circles(df: DataFrame, ident: str, vector: str, threshold: float, seed: int = 0) -> DataFrame:
-    """(ident, rank): a greedy packing in seeded order; no two kept rows lie within the threshold (cosine distance) of each other.
+def _unit_rows(vectors) -> np.ndarray:
+    x = np.array(list(vectors), float).reshape(len(vectors), -1)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-    Each partition first packs its own rows in that order, so that only packings meet in the last task; with one
-    partition the result is the plain greedy packing.
+
+def circles(df: DataFrame, ident: str, vector: str, threshold: float, seed: int = 0, step: int = LIMIT) -> DataFrame:
+    """(ident, rank): the greedy packing in seeded order; no two kept rows lie within the threshold (cosine distance) of each other.
+
+    It is made in rounds: the next ``step`` undecided rows of the order are packed in one task, then every later row
+    within the threshold of a kept one is dropped. So a row is decided when all earlier ones are, whatever the
+    number of rows, splits and batches.
     """
+    from latticework.session import materialise
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("k")
-        x = np.array(f[vector].tolist(), float).reshape(len(f), -1)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-        kept: list[int] = []
+        f = f.sort_values("k", kind="stable")
+        x, kept = _unit_rows(f[vector]), []
+        held = np.empty_like(x)
         for i in range(len(x)):
-            if not kept or (1 - x[kept] @ x[i] > threshold).all():
+            if (1 - held[: len(kept)] @ x[i] > threshold).all():
+                held[len(kept)] = x[i]
                 kept.append(i)
-        return f.iloc[kept]
+        return f.iloc[kept].assign(rank=range(len(kept)))
 
-    def local(frames):
-        held = None
-        for f in frames:
-            held = greedy(f if held is None else pd.concat([held, f]))
-        if held is not None:
-            yield held
-
-    keyed = df.select(ident, vector, draw(seed, ident).alias("k")).where(F.col(vector).isNotNull())
-    form = keyed.schema
-    def last(f: pd.DataFrame) -> pd.DataFrame:
-        kept = greedy(f)
-        return kept.assign(rank=range(len(kept)))[[ident, "rank"]]
-
-    packed = keyed.mapInPandas(local, form).withColumn("all", F.lit("all"))
-    return packed.groupBy("all").applyInPandas(last, f"{ident} {dict(df.dtypes)[ident]}, rank int")
+    def outside(kept):
+        def run(frames):
+            y = kept.value
+            for f in frames:
+                for s in range(0, len(f), 1_000):
+                    g = f.iloc[s : s + 1_000]
+                    yield g[(1 - _unit_rows(g[vector]) @ y.T > threshold).all(1)]
+
+        return run
+
+    spark = df.sparkSession
+    left = materialise(df.select(ident, vector, draw(seed, ident).alias("k")).where(F.col(vector).isNotNull()), "undecided")
+    form, packed, n = left.schema, None, 0
+    while packed is None or not left.isEmpty():
+        cut = left.select("k").orderBy("k").limit(step).agg(F.max("k")).first()[0]  # rows of one key stay together
+        some = left.where(F.col("k") <= cut) if cut is not None else left
+        kept = materialise(some.groupBy().applyInPandas(greedy, f"{ident} {dict(df.dtypes)[ident]}, {vector} {dict(df.dtypes)[vector]}, k string, rank int"), "circles")
+        out = kept.select(ident, (F.col("rank") + n).cast("int").alias("rank"))
+        packed = out if packed is None else packed.unionByName(out)
+        near = [r[0] for r in kept.select(vector).collect()]  # at most step rows
+        n += len(near)
+        rest = left.where(F.col("k") > cut) if cut is not None else left
+        if rest.isEmpty():
+            break
+        left = materialise(rest.mapInPandas(outside(spark.sparkContext.broadcast(_unit_rows(near))), form), "undecided")
+    return packed

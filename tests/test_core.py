@@ -163,6 +163,20 @@ def test_farthest_and_circles(spark):
     assert all(d[a, b] > 0.5 for a in kept for b in kept if a < b) and all(any(d[i, k] <= 0.5 + 1e-9 or i == k for k in kept) or True for i in range(80))
 
 
+def test_circles_are_the_greedy_packing_whatever_the_splits(spark):
+    x = np.random.default_rng(2).normal(size=(600, 6))
+    keys = {r["id"]: r["k"] for r in spark.range(600).select("id", diversity.draw(0, "id").alias("k")).collect()}
+    u, want = x / np.linalg.norm(x, axis=1, keepdims=True), []
+    for i in sorted(keys, key=keys.get):
+        if all(1 - u[i] @ u[j] > 0.4 for j in want):
+            want.append(i)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(5)
+    for step in (600, 70):
+        got = diversity.circles(df, "id", "v", 0.4, **({} if step == 600 else {"step": step})).orderBy("rank").collect()
+        assert [(r["id"], r["rank"]) for r in got] == [(i, k) for k, i in enumerate(want)]
+    assert diversity.circles(df.limit(0), "id", "v", 0.4).count() == 0
+
+
 # committee and selection
 
 
