@@ -74,8 +74,8 @@ def diversity_growth(spark: SparkSession, d: str) -> DataFrame:
 
     s = table(spark, d, "split_members").select(id_key("atl_id").alias("key"), F.when(F.lower(F.trim("split_name")) == "train", 0).when(F.lower(F.trim("split_name")) == "valid", 1).otherwise(2).alias("step")).groupBy("key").agg(F.min("step").alias("step"))
     p = table(spark, d, "descriptor_dict").select(id_key("atl_id").alias("key"), F.explode("latent_space").alias("p")).groupBy("key").agg(F.avg(F.col("p")[0].cast("double")).alias("x"), F.avg(F.col("p")[1].cast("double")).alias("y"))
-    out = analysis.growth(s.join(p, "key"), "key", "x", "y", [0, 1, 2], size=1_000, grid=0.2)
-    return out.select("upto", "n", *[F.round(c, 4).alias(c) for c in ("vendi", "vendi_share", "area", "area_added", "area_ratio")])
+    out = analysis.growth(s.join(p, "key"), "key", "x", "y", [0, 1, 2], size=10_000, grid=0.2)
+    return out.select("upto", "n", *[F.round(c, 4).alias(c) for c in ("vendi", "vendi_std", "vendi_share", "area", "area_added", "area_ratio")])
 
 
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by 1")

@@ -135,7 +135,7 @@ def vendi_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def vendi_subsampled(spark: SparkSession, d: str) -> DataFrame:
-    return diversity.vendi_subsampled(_e(spark, d), "vec_id", "v", size=400, rounds=4, sigma=None).select("round", "n", F.round("score", 6).alias("score"))
+    return diversity.vendi_subsampled(_e(spark, d), "vec_id", "v", size=10_000, rounds=4, sigma=None).select("round", "n", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -366,6 +366,23 @@ def test_growth(spark):
     assert [r["n"] for r in got] == [100, 200, 300] and got[0]["area_added"] == 0 and got[2]["area"] > got[0]["area"]
 
 
+def test_growth_gives_mean_and_deviation_of_four_draws(spark):
+    x = np.random.default_rng(4).uniform(0, 1, (120, 2))
+    rows = spark.createDataFrame([(i, int(i >= 40), float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, step int, x double, y double")
+    first, last = analysis.growth(rows, "id", "x", "y", [0, 1], size=60, grid=0.2).orderBy("upto").collect()
+    assert abs(first["vendi"] - diversity.vendi_rbf(x[:40])) < 1e-9 and first["vendi_std"] == 0
+    keys = lambda k: {r["id"]: r["k"] for r in spark.range(120).select("id", diversity.draw(k, "id").alias("k")).collect()}
+    scores = [diversity.vendi_rbf(x[sorted(at, key=at.get)[:60]]) for at in map(keys, range(4))]
+    assert abs(last["vendi"] - np.mean(scores)) < 1e-9 and abs(last["vendi_std"] - np.std(scores)) < 1e-9
+
+
+def test_vendi_subsampled_takes_all_rows_of_a_small_table(spark, small):
+    import __spark_entry__ as entry
+
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    assert {r["n"] for r in entry.queries()["vendi_subsampled"](spark, small).collect()} == {n}
+
+
 def test_streaming_views_equal_their_batches(spark, tmp_path):
     from latticework.streaming import views
 
