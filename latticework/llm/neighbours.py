@@ -14,9 +14,18 @@ similarity the RERANK best-scored of each cell are reranked. A pair found from e
 for both. So the only loss comes from cells that neither side looks into; it is measured against
 brute force in the tests and in the README.
 
+Traffic: cells that lie near each other form groups of bounded expected size, and a vector is sent
+once to each group that it looks into, with the numbers of the cells there; in its own group its
+stored row asks. So it is not sent once a cell.
+
 Skew: vectors of equal content are one class from the start (a hot group of copies is searched
-once). Where a cell is expected to hold more than SPLIT vectors, cells are counted and those too
-large for one task are cut into blocks on both sides, all of which meet; so no cut loses a pair.
+once). Beyond COUNT vectors, or where a group is expected to hold or to be asked by too many, groups are
+counted and those too large for one task are cut into blocks on both sides, all of which meet; so no
+cut loses a pair, and recall does not hang on it.
+
+The number of cells grows with the root of the number of vectors, up to a quarter of the sample
+(SAMPLE, LARGE_SAMPLE beyond COUNT vectors); beyond that cells grow and every vector of a probed cell is
+still scored, so that recall does not fall.
 
 Defined results: vectors that are null, of another length, with null or non-finite numbers or all
 zero take no part; an id with several vectors counts by its earliest row; equal similarities are
@@ -38,16 +47,18 @@ from latticework.functions.ids import id_key
 from latticework.session import materialise
 
 DIM = 64
-SAMPLE = 16_384
+#: Vectors that the codebooks are fitted on; the larger number beyond COUNT vectors.
+SAMPLE, LARGE_SAMPLE = 16_384, 65_536
+COUNT = 1_000_000
 LEVELS, WORDS, BEAM = 8, 32, 6
 PROBES = 4
-#: Cells for n vectors: this times the root of n, as a power of two, 1,024 at most.
+#: Cells for n vectors: this times the root of n, as a power of two.
 CELLS = 4
-SPLIT = 4_096
+#: Stored and asking vectors that one task's block holds.
 BLOCK, QUERIES = 8_192, 32_768
 RERANK = 48
-#: Rows that go to one call of the search, of several cells.
-BUCKET = 6_000
+#: Expected stored vectors of a group of cells.
+GROUP = 1_200
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -68,10 +79,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass
 class Index:
-    """The fitted codebooks: cells (C x DIM) and words (LEVELS x WORDS x DIM)."""
+    """The fitted codebooks: cells (C x DIM), words (LEVELS x WORDS x DIM), and the group of each cell."""
 
     cells: np.ndarray
     words: np.ndarray
+    group: np.ndarray
 
     @classmethod
     def fit(cls, x: np.ndarray, n_cells: int, seed: int = 7) -> Index:
@@ -82,7 +94,18 @@ class Index:
         for m in range(LEVELS):
             words[m] = _kmeans(rest, WORDS, 8, rng)
             rest = rest - words[m][cls._nearest(rest, words[m])]
-        return cls(cells, words)
+        return cls(cells, words, np.arange(len(cells)))
+
+    def join(self, expected: np.ndarray, most: float, seed: int = 7) -> None:
+        """Put cells that lie near each other into groups of at most ``most`` expected vectors (or one cell)."""
+        near = _kmeans(self.cells, max(1, len(self.cells) // 16), 8, np.random.default_rng(seed))
+        home = self._nearest(self.cells, near)
+        held, group = {}, -1
+        for c in np.lexsort((np.arange(len(home)), home)):
+            if not held or held["home"] != home[c] or held["n"] + expected[c] > most:
+                group, held = group + 1, {"home": home[c], "n": 0.0}
+            held["n"] += expected[c]
+            self.group[c] = group
 
     @staticmethod
     def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -161,8 +184,14 @@ def vectors(rows: DataFrame, dim: int = DIM) -> DataFrame:
     return one.mapInPandas(_unit, "key string, vec binary")
 
 
+ROW = "role boolean, cls long, cell long, bucket long, vec binary, codes binary, norm float, floor float, looks binary"
+
+
 def _assign(index, least: float | None, probes: int) -> Callable:
-    """(cls, vec) -> a row of the base side (its cell, codes and norms) and one of the query side for each other cell looked into."""
+    """(cls, vec) -> a stored row (cell, codes, norms) and one asking row for each further group looked into.
+
+    ``looks``: the cells of the row's group that it looks into.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
@@ -171,126 +200,174 @@ def _assign(index, least: float | None, probes: int) -> Callable:
                 g = f.iloc[s : s + 4_096]
                 x = normalised(_unpack(g["vec"]))
                 near = ix.probe(x, probes)
-                codes = ix.encode(x, near[:, 0])
-                norm, floor = ix.stored(x, near[:, 0], codes, least)
+                own = near[:, 0]
+                codes = ix.encode(x, own)
+                norm, floor = ix.stored(x, own, codes, least)
                 cls, vec = g["cls"].to_numpy(), np.array([r.tobytes() for r in x], object)
-                yield pd.DataFrame({"role": False, "cls": cls, "cell": near[:, 0], "vec": vec, "coarse": near[:, 0], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm, "floor": floor})
-                for j in range(1, near.shape[1]):  # in its own cell the base row asks
-                    yield pd.DataFrame({"role": True, "cls": cls, "cell": near[:, j], "vec": vec, "coarse": 0, "codes": None, "norm": 0.0, "floor": 0.0})
+                group = ix.group[near]
+                order = np.argsort(group, axis=1, kind="stable")
+                group, near = np.take_along_axis(group, order, 1), np.take_along_axis(near, order, 1).astype("<i4")
+                first = np.ones(group.shape, bool)
+                first[:, 1:] = group[:, 1:] != group[:, :-1]
+                row, start = np.nonzero(first)
+                end = np.append(start[1:], 0)
+                end[end == 0] = group.shape[1]  # the next run of the row, or its end
+                looks = np.array([near[r, a:b].tobytes() for r, a, b in zip(row, start, end, strict=True)], object)
+                at = group[row, start]
+                mine = at == ix.group[own][row]
+                yield pd.DataFrame({"role": False, "cls": cls[row[mine]], "cell": own, "bucket": at[mine], "vec": vec[row[mine]], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm, "floor": floor, "looks": looks[mine]})
+                yield pd.DataFrame({"role": True, "cls": cls[row[~mine]], "cell": -1, "bucket": at[~mine], "vec": vec[row[~mine]], "codes": None, "norm": 0.0, "floor": 0.0, "looks": looks[~mine]})
 
     return run
 
 
 def _search(index, least: float | None, k: int) -> Callable:
-    """All vectors of a cell and all that look into it -> (a, b, similarity): for each that looks, its k best.
+    """All stored vectors of a group and all that look into it -> (a, b, similarity): for each that looks, its k best.
 
-    The vectors of the cell itself look too, unless the cell was cut; then they come as rows of their own.
+    The stored vectors look too, unless the group was cut; then they come as rows of their own.
     """
+    none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})
 
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(g) for _, g in bucket.groupby(["cell", "part"], sort=False)], ignore_index=True)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        ix = index.value
+    def run(g: pd.DataFrame) -> pd.DataFrame:
         role = g["role"].to_numpy(bool)
         base, ask = g[~role], g[role] if g["cut"].iloc[0] else g
-        none = pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64), "sim": np.array([], float)})
         if not len(base) or not len(ask):
             return none
+        seen = np.frombuffer(b"".join(ask["looks"]), "<i4")
+        owner = np.repeat(np.arange(len(ask)), [len(b) // 4 for b in ask["looks"]])
+        order = np.argsort(seen, kind="stable")
+        seen, owner = seen[order], owner[order]
+        q, who = _unpack(ask["vec"]), ask["cls"].to_numpy()
         x, ids = _unpack(base["vec"]), base["cls"].to_numpy()
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), LEVELS)
-        coarse = base["coarse"].to_numpy()
-        norm, floor = base["norm"].to_numpy(np.float32), base["floor"].to_numpy(np.float32)
+        norm, floor, cell = base["norm"].to_numpy(np.float32), base["floor"].to_numpy(np.float32), base["cell"].to_numpy()
+        out = [none]
+        for c in np.unique(cell):
+            rows = owner[np.searchsorted(seen, c) : np.searchsorted(seen, c, side="right")]
+            if len(rows):
+                at = np.flatnonzero(cell == c)
+                out += one(index.value, c, q, who, rows, x[at], ids[at], codes[at], norm[at], floor[at])
+        a, b, sim = (np.concatenate([o[n].to_numpy() for o in out]) for n in ("a", "b", "sim"))
+        keep = best(a, b, sim)
+        return pd.DataFrame({"a": a[keep], "b": b[keep], "sim": sim[keep]})
+
+    def best(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        """Places of the k best of each a."""
+        order = np.lexsort((b, -sim, a))
+        a = a[order]
+        first = np.ones(len(a), bool)
+        first[1:] = a[1:] != a[:-1]
+        pos = np.arange(len(a))
+        return order[pos - np.maximum.accumulate(np.where(first, pos, 0)) < k]
+
+    def one(ix: Index, c: int, q, who, rows, x, ids, codes, norm, floor) -> list[pd.DataFrame]:
         flat = ix.words.reshape(LEVELS * WORDS, -1)
-        centres, at = np.unique(coarse, return_inverse=True)
-        out, step = [none], max(16, 4_000_000 // len(base))
-        for s in range(0, len(ask), step):
-            q, who = _unpack(ask["vec"].iloc[s : s + step]), ask["cls"].to_numpy()[s : s + step]
-            lut = flat @ q.T  # (words of all levels) x queries: a word's products lie together
-            score = (ix.cells[centres] @ q.T)[at]
+        out, step = [], max(16, 4_000_000 // len(x))
+        for s in range(0, len(rows), step):
+            y, name = q[rows[s : s + step]], who[rows[s : s + step]]
+            lut = flat @ y.T  # (words of all levels) x queries: a word's products lie together
+            score = np.repeat((ix.cells[c] @ y.T)[None], len(x), axis=0)
             for m in range(LEVELS):
                 score += lut[m * WORDS + codes[:, m]]
             if least is not None:
                 b, a = np.nonzero(score >= floor[:, None])
             else:
                 score /= norm[:, None]
-                r = min(RERANK, len(base))
+                r = min(RERANK, len(x))
                 b = np.argpartition(-score, r - 1, axis=0)[:r].ravel()
-                a = np.tile(np.arange(len(q)), r)
-            other = ids[b] != who[a]
+                a = np.tile(np.arange(len(y)), r)
+            other = ids[b] != name[a]
             a, b = a[other], b[other]
             if least is not None:  # in single precision first, with room for its error
-                near = [np.einsum("ij,ij->i", q[a[t : t + 100_000]], x[b[t : t + 100_000]]) >= least - 1e-4 for t in range(0, len(a), 100_000)]
+                near = [np.einsum("ij,ij->i", y[a[t : t + 100_000]], x[b[t : t + 100_000]]) >= least - 1e-4 for t in range(0, len(a), 100_000)]
                 keep = np.concatenate([np.zeros(0, bool), *near])
                 a, b = a[keep], b[keep]
             sim = np.empty(len(a))
             for t in range(0, len(a), 100_000):
                 u = slice(t, t + 100_000)
-                sim[u] = np.einsum("ij,ij->i", q[a[u]].astype(np.float64), x[b[u]].astype(np.float64))
+                sim[u] = np.einsum("ij,ij->i", y[a[u]].astype(np.float64), x[b[u]].astype(np.float64))
             if least is not None:
                 keep = sim >= least
                 a, b, sim = a[keep], b[keep], sim[keep]
-            order = np.lexsort((ids[b], -sim, a))
-            a, b, sim = a[order], b[order], sim[order]
-            first = np.ones(len(a), bool)
-            first[1:] = a[1:] != a[:-1]
-            pos = np.arange(len(a))
-            top = pos - np.maximum.accumulate(np.where(first, pos, 0)) < k
-            out.append(pd.DataFrame({"a": who[a[top]], "b": ids[b[top]], "sim": sim[top]}))
-        return pd.concat(out, ignore_index=True)
+            top = best(name[a], ids[b], sim)
+            out.append(pd.DataFrame({"a": name[a[top]], "b": ids[b[top]], "sim": sim[top]}))
+        return out
 
     return run
 
 
 def _blocks(both: DataFrame) -> DataFrame:
-    """A ``part`` for each row; cells too large for one task are cut on both sides, and every block meets every other."""
-    counts = both.groupBy("cell").agg(F.sum((~F.col("role")).cast("long")).alias("n"), F.sum(F.col("role").cast("long")).alias("m"))
+    """A ``part`` for each row; groups too large for one task are cut on both sides, and every block meets every other."""
+    counts = both.groupBy("bucket").agg(F.sum((~F.col("role")).cast("long")).alias("n"), F.count(F.lit(1)).alias("m"))
     large = counts.where((F.col("n") > BLOCK) | (F.col("m") > QUERIES))
-    large = large.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("mb"))
+    large = large.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("mb"))
+    large = materialise(large, "large")
     if large.isEmpty():
-        return both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
-    both = both.unionByName(both.where("not role").join(large.select("cell"), "cell", "left_semi").withColumn("role", F.lit(True)))
+        return _whole(both)
+    both = both.unionByName(both.where("not role").join(large.select("bucket"), "bucket", "left_semi").withColumn("role", F.lit(True)))
     own = F.expr("pmod(hash(cls), if(role, mb, nb))")
     parts = F.expr("if(role, transform(sequence(0, nb - 1), i -> i * mb + own), transform(sequence(0, mb - 1), j -> own * mb + j))")
-    cut = both.join(large, "cell", "left").withColumn("cut", F.col("nb").isNotNull()).fillna(1, ["nb", "mb"])
+    cut = both.join(large, "bucket", "left").withColumn("cut", F.col("nb").isNotNull() & (F.col("nb") > 0)).fillna(1, ["nb", "mb"])
+    cut = cut.withColumn("nb", F.greatest("nb", F.lit(1)))
     return cut.withColumn("own", own).withColumn("part", F.explode(parts)).drop("own", "nb", "mb")
 
 
-def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def _whole(both: DataFrame) -> DataFrame:
+    return both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
+
+
+def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = PROBES, sample: int | None = None, cells: int | None = None) -> DataFrame:
     """(a, b, sim): for each class its best others, found from either side. ``classes`` (cls long, vec) must be a stored table."""
     spark = classes.sparkSession
     n = classes.count()
+    sample = sample or (SAMPLE if n <= COUNT else LARGE_SAMPLE)
     share = min(1.0, 2.0 * sample / max(n, 1))
-    rows = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
-    taken = rows.select("vec").limit(sample).collect()
+    mark = F.xxhash64(F.lit(1), "cls")
+    rows = classes.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
+    taken = rows.orderBy(mark).select("vec").limit(sample).collect()
     if not taken:
         return spark.createDataFrame([], "a long, b long, sim double")
     x = normalised(np.frombuffer(b"".join(bytes(r[0]) for r in taken), "<f4").reshape(len(taken), -1))
-    n_cells = int(2 ** np.clip(round(math.log2(max(CELLS * math.sqrt(n), 1))), 0, 10))
+    n_cells = cells or 2 ** max(0, round(math.log2(max(CELLS * math.sqrt(n), 1))))
     index = Index.fit(x, min(n_cells, max(1, len(x) // 4)))
-    # expected rows a cell, from the sample: where one is expected to hold more than SPLIT, cells are counted and cut
-    held = np.bincount(Index._nearest(x, index.cells), minlength=len(index.cells)) * (n / len(x))
-    hot = held > SPLIT
+    # expected stored and asking rows, from the sample
+    near = index.probe(x, probes)
+    held = np.bincount(near[:, 0], minlength=len(index.cells)) * (n / len(x))
+    index.join(held, GROUP)
+    groups = int(index.group.max()) + 1
+    asked = np.bincount(index.group[near].ravel(), minlength=groups) * (n / len(x))
     index_b = spark.sparkContext.broadcast(index)
-    both = classes.mapInPandas(_assign(index_b, least, probes), "role boolean, cls long, cell long, vec binary, coarse long, codes binary, norm float, floor float")
-    both = materialise(both, "cells") if n > 1_000_000 or hot.any() else both
-    cut = _blocks(both) if hot.any() else both.withColumn("part", F.lit(0)).withColumn("cut", F.lit(False))
-    buckets = max(8, n * (probes + 1) // BUCKET)
-    cut = cut.withColumn("bucket", F.expr(f"pmod(xxhash64(cell, part), {buckets})"))
-    tasks = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))  # stated: the work is not in the bytes
-    found = cut.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
+    both = classes.mapInPandas(_assign(index_b, least, probes), ROW)
+    if n > COUNT or np.bincount(index.group, held).max() > BLOCK // 2 or asked.max() > QUERIES // 2:
+        cut = _blocks(materialise(both, "cells"))
+    else:
+        cut = _whole(both)
+    # stated: the work is not in the bytes
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 4))
+    found = cut.repartition(tasks, "bucket", "part").groupBy("bucket", "part").applyInPandas(_search(index_b, least, k), "a long, b long, sim double")
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 
+def _name(seed: int):
+    return F.xxhash64(F.lit(seed), "vec")
+
+
+def _classes(held: DataFrame, name: Callable = _name) -> tuple[DataFrame, DataFrame]:
+    """(key, vec, cls) and (cls, vec, m): equal vectors are one class.
+
+    A class is named by a 64-bit hash, which for 1e6 vectors collides once in 1e8 collections; then another seed is taken.
+    """
+    for seed in range(8):
+        named = held.withColumn("cls", name(seed))
+        sizes = materialise(named.groupBy("cls").agg(F.min("vec").alias("vec"), F.max("vec").alias("other"), F.count(F.lit(1)).alias("m")), "classes")
+        if sizes.where("vec != other").isEmpty():
+            return named, sizes
+    raise ValueError("too many vectors for hashes of 64 bits")
+
+
 def nearest(rows: DataFrame, k: int = 5, least: float | None = None, probes: int = PROBES) -> DataFrame:
     """(key, other, sim, rank): for each id its k most similar other ids, if at least ``least`` similar."""
-    held = materialise(vectors(rows).withColumn("cls", F.expr("xxhash64(vec)")), "vectors")
-    # two 64-bit hashes of one collection collide once in 1e8 for 1e6 vectors; equal hashes of unequal vectors are told apart here
-    twice = held.groupBy("cls").agg(F.min("vec").alias("vec"), F.max("vec").alias("other"), F.count(F.lit(1)).alias("m"))
-    sizes = materialise(twice, "classes")
-    if not sizes.where("vec != other").isEmpty():
-        held = materialise(held.withColumn("cls", F.expr("xxhash64(vec, cls, length(vec))")), "vectors")
-        sizes = materialise(held.groupBy("cls").agg(F.min("vec").alias("vec"), F.max("vec").alias("other"), F.count(F.lit(1)).alias("m")), "classes")
+    held, sizes = _classes(materialise(vectors(rows), "vectors"))
     edges = class_edges(sizes.select("cls", "vec"), k, least, probes).groupBy("a", "b").agg(F.max("sim").alias("sim"))
     ids = held.select("cls", "key")
     firsts = ids.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where(F.col("nth") <= k + 1)

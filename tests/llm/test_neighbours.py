@@ -80,7 +80,7 @@ def test_pruning_loses_nothing_and_cut_cells_agree(spark, monkeypatch):
     _, floor = ix.stored(x, cell, codes, 0.97)
     q = N.normalised((x + 0.02 * rng.normal(size=x.shape)).astype(np.float32))
     assert ((q * x).sum(1) >= 0.97).all() and ((q * ix.decode(cell, codes)).sum(1) >= floor).all()
-    for name, value in (("SPLIT", 20), ("BLOCK", 30), ("QUERIES", 50)):
+    for name, value in (("COUNT", 20), ("BLOCK", 60), ("QUERIES", 150)):
         monkeypatch.setattr(N, name, value)
     base = rng.normal(size=(8, 64))
     y = (base[rng.integers(0, 8, 400)] + 0.1 * rng.normal(size=(400, 64))).astype(np.float32)
@@ -95,13 +95,30 @@ def test_hot_cells_lose_no_pair_of_those_that_small_ones_find(spark, monkeypatch
     ids = [f"id{i:04d}" for i in range(len(x))]
     rows = [(i, v.tolist(), None) for i, v in zip(ids, x, strict=True)]
     whole, least = near(spark, rows, k=5, probes=8), near(spark, rows, k=5, least=0.3, probes=8)
-    for name, value in (("SPLIT", 2), ("BLOCK", 4), ("QUERIES", 12)):
+    for name, value in (("COUNT", 2), ("BLOCK", 50), ("QUERIES", 200)):
         monkeypatch.setattr(N, name, value)
     assert near(spark, rows, k=5, least=0.3, probes=8) == least
     want = brute(ids, x.astype(float), 5, -2)
     assert len(near(spark, rows, k=5, probes=8) & want) >= len(whole & want) > 0
 
 
+def test_unequal_vectors_of_equal_hash_are_told_apart(spark):
+    held = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("c", b"1")], "key string, vec binary")
+    named, sizes = N._classes(held, lambda seed: N.F.lit(7).cast("long") if seed == 0 else N._name(seed))
+    cls = {r["key"]: r["cls"] for r in named.collect()}
+    assert cls["a"] == cls["c"] != cls["b"] and {r["m"] for r in sizes.collect()} == {1, 2}
+
+
+def test_groups_of_cells_are_bounded_and_lose_nothing():
+    rng = np.random.default_rng(9)
+    x = N.normalised(rng.normal(size=(2_000, 64)).astype(np.float32))
+    ix = N.Index.fit(x, 128)
+    held = np.bincount(ix.probe(x, 1)[:, 0], minlength=128) * 10.0
+    ix.join(held, 1_000)
+    size, cells = np.bincount(ix.group, held), np.bincount(ix.group)
+    assert cells.sum() == 128 and len(cells) < 128 and ((size <= 1_000) | (cells == 1)).all()
+
+
 def test_beam_beats_the_greedy_choice():
     rng = np.random.default_rng(6)
     x = N.normalised(rng.normal(size=(800, 64)).astype(np.float32))
