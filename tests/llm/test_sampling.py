@@ -74,7 +74,21 @@ def test_exchange_reaches_the_best_small_plan():
 
     q = {"size": 6, "field": "modifications", "cats": {"x": (0.5, 1), "y": (0.5, 1), "z": (0.5, 1)}}
     counts = {("x",): 2, ("y",): 2, ("z",): 1, ("x", "y"): 3, ("y", "z"): 2, (): 4}
-    got = S.plan(q, counts)
+    made = S.plan(q, counts)
+    got = made.quota
     miss = lambda n: sum(abs(sum(k for p, k in n.items() if c in p) - 3) for c in "xyz")
     best = min(miss(dict(zip(counts, ks, strict=True))) for ks in itertools.product(*[range(n + 1) for n in counts.values()]) if sum(ks) == 6)
     assert sum(got.values()) == 6 and miss(got) == best
+    assert made.gap >= 0 and sum(made.short.values()) == sum(max(0, 3 - sum(k for p, k in got.items() if c in p)) for c in "xyz")
+
+
+def test_slack_arcs_are_the_shortfall_and_the_gap_is_proven():
+    q = {"size": 40, "field": "modifications", "cats": {"a": (0.5, 4), "b": (0.5, 30), "c": (0.2, 0)}}
+    single = S.plan(q, {("a",): 50, ("b",): 10, (): 100})
+    assert single.short == {"a": 0, "b": 20, "c": 8} and single.floor_short == {"a": 0, "b": 20, "c": 0}
+    assert single.quota == {("a",): 30, ("b",): 10, (): 0} and sum(S.plan(q, {("a",): 50, ("b",): 10, (): 100}, fill=False).quota.values()) == 30
+    both = S.plan(q, {("a", "b"): 100, ("c",): 3, (): 9})
+    assert both.quota[("a", "b")] >= 30 and both.short["c"] == 5 and both.gap == 0
+    wide = {tuple(c for j, c in enumerate("abcdefgh") if i >> j & 1): 3 + i % 5 for i in range(256)}
+    many = S.plan({"size": 100, "field": "modifications", "cats": {c: (0.3, 2) for c in "abcdefgh"}}, wide)
+    assert sum(many.quota.values()) == 100 and many.gap == 0 and not any(many.short.values())
