@@ -10,17 +10,30 @@ from latticework.llm import subset
 from latticework.session import materialise, table
 
 
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return subset.candidates(table(spark, d, "structures"), table(spark, d, "descriptor_dict"))
+
+
+def _asked(spark: SparkSession, d: str) -> list[tuple]:
+    return subset.asked(table(spark, d, "subset_requests"))
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate of every request with the selected structure that stands for it; those with ``selected`` are the subset."""
+    rows, requests = materialise(_candidates(spark, d), "candidates"), _asked(spark, d)
+    got = subset.represented(rows, requests, subset.subsets(rows, requests))
+    return got.select("request_id", id_text("key").alias("atl_id"), id_text("representative").alias("representative"), F.round("distance", 4).alias("distance"), "selected")
+
+
 def p5_subset(spark: SparkSession, d: str) -> DataFrame:
-    rows = subset.candidates(table(spark, d, "structures"), table(spark, d, "descriptor_dict"))
-    chosen = subset.subsets(rows, subset.asked(table(spark, d, "subset_requests")))
+    chosen = subset.subsets(_candidates(spark, d), _asked(spark, d))
     return chosen.select("request_id", id_text("key").alias("atl_id"), "phase", "struct_type", F.round("mean_distance", 4).alias("mean_distance"), F.round("least_distance", 4).alias("least_distance"))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialise(subset.candidates(table(spark, d, "structures"), table(spark, d, "descriptor_dict")), "candidates")
-    requests = subset.asked(table(spark, d, "subset_requests"))
+    rows, requests = materialise(_candidates(spark, d), "candidates"), _asked(spark, d)
     return subset.subset_report(rows, requests, subset.subsets(rows, requests))
 
 
-QUERIES = {"p5_subset": p5_subset, "p5_report": p5_report}
+QUERIES = {"p5_members": p5_members, "p5_subset": p5_subset, "p5_report": p5_report}
 ORACLES: dict[str, str] = {}

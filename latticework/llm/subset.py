@@ -13,10 +13,14 @@ fill with members of a few far-away groups; a candidate is therefore swapped in
 separation: half the least distance among the farthest-first points, and no less than that of
 cosine 0.97. Large groups of similar structures so give as many members as they have distinct places.
 
+``represented`` gives every candidate of a request its nearest selected structure and the distance, so
+that the cover of the variety can be judged row by row.
+
 Defined results: structures that are there (see ``sampling.current``) with a usable vector (see
 ``neighbours.vectors``) can be selected, each once; a request that asks for more than there are gets
 all; a null, unknown or nonpositive size gives nothing; ties go to the smaller id; empty tables give
-empty results; extra columns are ignored.
+empty results; extra columns are ignored. Subsets of more than LIMIT, and more than MOST_SELECTED rows in
+all requests together, are refused.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ BONUS = 0.25
 NEAR = math.sqrt(2 - 2 * 0.97)
 FAN = 32
 LIMIT = 20_000
-MOST_REQUESTS = 10_000
+MOST_REQUESTS, MOST_SELECTED = 10_000, 200_000
 ROW = "request_id int, part long, key string, phase string, struct_type string, vec binary"
 
 
@@ -52,6 +56,20 @@ class Points:
         d = np.sqrt(np.maximum(2 - 2 * (self.x @ self.x[i]), 0))
         return d + sum(BONUS * (lab != lab[i]) for lab in self.labels)
 
+    def among(self, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and least distance of each to the others, by blocks; 0 for a single point."""
+        n = len(self.x)
+        mean, least = np.zeros(n), np.zeros(n)
+        for s in range(0, n if n > 1 else 0, step):
+            d = np.sqrt(np.maximum(2 - 2 * (self.x[s : s + step] @ self.x.T).astype(float), 0))
+            d += sum(BONUS * (lab[s : s + step, None] != lab[None]) for lab in self.labels)
+            at = np.arange(len(d))
+            d[at, s + at] = 0
+            mean[s : s + step] = d.sum(1) / (n - 1)
+            d[at, s + at] = np.inf
+            least[s : s + step] = d.min(1)
+        return mean, least
+
 
 def farthest(p: Points, k: int) -> tuple[list[int], float]:
     """k points, each the farthest from those before, and the least distance among them."""
@@ -134,6 +152,8 @@ def asked(rows: DataFrame) -> list[tuple]:
     got = rows.select("request_id", norm("phase"), norm("struct_type"), "subset_size").where("subset_size > 0 and request_id is not null").distinct().limit(MOST_REQUESTS + 1).collect()
     if len(got) > MOST_REQUESTS:
         raise ValueError(f"more than {MOST_REQUESTS} subset requests")
+    if any(r["subset_size"] > LIMIT for r in got) or sum(r["subset_size"] for r in got) > MOST_SELECTED:
+        raise ValueError(f"a subset of more than {LIMIT} or subsets of more than {MOST_SELECTED} rows in all")
     return sorted((tuple(r) for r in got), key=lambda r: (r[0], str(r)))
 
 
@@ -147,12 +167,8 @@ def _final(sizes: dict[int, int]):
             start, least = farthest(p, k)
             start = swaps(p, start, max(least / 2, NEAR), passes=50)
         got = f.iloc[start].reset_index(drop=True)
-        p = Points(got)
-        d = np.stack([p.to(i) for i in range(len(got))]) if len(got) <= 5_000 else np.full((len(got), 2), np.nan)
-        if d.shape[1] == len(got):
-            np.fill_diagonal(d, np.nan)
-        one = len(got) == 1
-        return pd.DataFrame({"request_id": got["request_id"], "key": got["key"], "phase": got["phase"], "struct_type": got["struct_type"], "mean_distance": 0.0 if one else np.nanmean(d, 1), "least_distance": 0.0 if one else np.nanmin(d, 1)})
+        mean, least = Points(got).among()
+        return got[["request_id", "key", "phase", "struct_type"]].assign(mean_distance=mean, least_distance=least, vec=got["vec"])
 
     return run
 
@@ -163,7 +179,7 @@ def candidates(structures: DataFrame, descriptors: DataFrame) -> DataFrame:
 
 
 def subsets(rows: DataFrame, requests: list[tuple]) -> DataFrame:
-    """(request_id, key, phase, struct_type, mean_distance, least_distance): the subset of every request."""
+    """(request_id, key, phase, struct_type, mean_distance, least_distance, vec): the subset of every request."""
     sizes = {r[0]: r[3] for r in requests}
     held = materialise(rows.mapInPandas(_cores(requests), ROW), "cores")
     while requests:
@@ -172,7 +188,46 @@ def subsets(rows: DataFrame, requests: list[tuple]) -> DataFrame:
             break
         merge = lambda f: core(f, sizes[int(f["request_id"].iloc[0])])[[*f.columns]]
         held = materialise(held.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("request_id", "part").applyInPandas(merge, ROW), "cores")
-    return held.groupBy("request_id").applyInPandas(_final(sizes), "request_id int, key string, phase string, struct_type string, mean_distance double, least_distance double")
+    return held.groupBy("request_id").applyInPandas(_final(sizes), "request_id int, key string, phase string, struct_type string, mean_distance double, least_distance double, vec binary")
+
+
+def represented(rows: DataFrame, requests: list[tuple], chosen: DataFrame) -> DataFrame:
+    """(request_id, key, representative, distance, selected): every candidate of a request with its nearest selected structure.
+
+    ``chosen`` is what ``subsets`` gave, at most MOST_SELECTED rows by the check of the requests. Ties go to the smaller key.
+    """
+    held: dict[int, list] = {}
+    for r in chosen.select("request_id", "key", "phase", "struct_type", "vec").collect():
+        held.setdefault(r["request_id"], []).append((r["key"], r["phase"] or "", r["struct_type"] or "", bytes(r["vec"])))
+    sides = {}
+    for rid, got in held.items():
+        got.sort()
+        codes = [{v: i for i, v in enumerate(sorted({g[c] for g in got}))} for c in (1, 2)]
+        x = np.frombuffer(b"".join(g[3] for g in got), "<f4").reshape(len(got), -1)
+        sides[rid] = (np.array([g[0] for g in got], object), x, codes, [np.array([code[g[c]] for g in got]) for c, code in zip((1, 2), codes, strict=True)])
+    sides_b = rows.sparkSession.sparkContext.broadcast(sides)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            y = normalised(np.frombuffer(b"".join(f["vec"]), "<f4").reshape(len(f), -1))
+            for rid, phase, kind, _ in requests:
+                if rid not in sides_b.value:
+                    continue
+                fits = (f["phase"].eq(phase) if phase is not None else pd.Series(True, f.index)) & (f["struct_type"].eq(kind) if kind is not None else pd.Series(True, f.index))
+                at = np.flatnonzero(fits.to_numpy(bool))
+                keys, x, codes, labels = sides_b.value[rid]
+                own = [f[c].fillna("").map(code).fillna(-1).to_numpy(int) for c, code in zip(("phase", "struct_type"), codes, strict=True)]
+                for s in range(0, len(at), 1_024):
+                    i = at[s : s + 1_024]
+                    d = np.sqrt(np.maximum(2 - 2 * (y[i] @ x.T), 0)) + sum(BONUS * (o[i, None] != lab[None]) for o, lab in zip(own, labels, strict=True))
+                    mine = keys[None] == f["key"].to_numpy()[i, None]
+                    d[mine] = -1  # a selected structure stands for itself
+                    best = d.argmin(1)
+                    yield pd.DataFrame({"request_id": rid, "key": f["key"].to_numpy()[i], "representative": keys[best], "distance": np.maximum(d[np.arange(len(i)), best], 0).astype(float), "selected": mine.any(1)})
+
+    return rows.mapInPandas(run, "request_id int, key string, representative string, distance double, selected boolean")
 
 
 def subset_report(rows: DataFrame, requests: list[tuple], chosen: DataFrame) -> DataFrame:

@@ -65,3 +65,34 @@ def test_merging_rounds_and_empty_tables(spark, monkeypatch):
     assert select(spark, [], [], [(1, None, None, 6)])[3] == {1: []}
     assert select(spark, [("s1", None, None)], [("s1", x[0].tolist())], [(1, None, None, 6)])[3] == {1: ["s1"]}
     assert select(spark, [("s1", None, None)], [("s1", None)], [(1, None, None, 6)])[3] == {1: []}
+
+
+def test_distances_among_large_subsets():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5_001, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    p = P.Points(pd.DataFrame({"phase": ["a", None, "b"] * 1_667, "struct_type": "t", "vec": [r.tobytes() for r in x]}))
+    mean, least = p.among()
+    d = p.to(4_000)
+    assert np.isfinite(mean).all() and abs(mean[4_000] - d.sum() / 5_000) < 1e-4 and abs(least[4_000] - np.delete(d, 4_000).min()) < 1e-4
+
+
+def test_every_candidate_has_its_nearest_selected_structure(spark):
+    import pytest
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 64)).astype(np.float32)
+    ids = [f"s{i:03d}" for i in range(60)]
+    rows = [(i, ("alpha", "beta", None)[n % 3], ("bulk", None)[n % 2]) for n, i in enumerate(ids)]
+    cand, req, out, got = select(spark, rows, list(zip(ids, x.tolist(), strict=True)), [(1, None, None, 7), (2, "alpha", None, 3), (3, "gamma", None, 3)])
+    told = {(r["request_id"], r["key"]): r for r in P.represented(cand, req, out).collect()}
+    assert len(told) == 60 + 20 and {k for (q, k), r in told.items() if q == 1 and r["selected"]} == set(got[1])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = lambda a, b: np.linalg.norm(u[a] - u[b]) + 0.25 * (rows[a][1] != rows[b][1]) + 0.25 * (rows[a][2] != rows[b][2])
+    for n, i in enumerate(ids):
+        best = min(far(n, ids.index(s)) for s in got[1])
+        assert abs(told[1, i]["distance"] - best) < 1e-3
+    empty = select(spark, [], [], [(1, None, None, 6)])
+    assert P.represented(empty[0], empty[1], empty[2]).collect() == []
+    with pytest.raises(ValueError, match="subset"):
+        P.asked(spark.createDataFrame([(1, None, None, P.LIMIT + 1)], ASK))
