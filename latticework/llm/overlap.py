@@ -19,7 +19,9 @@ about 3 in 10 million.
 Exact copies are one class from the start, so a hot group of copies enters a bucket once. A
 bucket is further split by the number of points and the cell of the mean point (means of
 near-same sets differ by at most eps; the evaluation side is entered in each cell within eps), so
-bucket pairs differ by at most eps in their means. Classes with many training members are salted on expansion.
+bucket pairs differ by at most eps in their means. The band join leaves
+skewed buckets to be split at run time (an inner sort-merge join); on expansion the members of both
+sides of large classes come in parts.
 
 Defined results: ids that are no reference, null or unknown splits, null point sets, sets with
 null or non-finite coordinates and sets of fewer than ``least`` points take no part in the near
@@ -242,7 +244,7 @@ def overlaps(split_members: DataFrame, descriptors: DataFrame) -> DataFrame:
     sets = sets.join(flags.select("key"), "key", "left_semi").mapInArrow(_clean, "key string, cls binary, n int, pts binary")
     sets = materialise(sets, "points")
     held = materialise(sets.select("key", "cls").distinct().join(flags, "key"), "held")
-    role = held.groupBy("cls").agg(F.max("train").alias("train"), F.max(F.col("valid") | F.col("test")).alias("evals"), F.sum(F.col("train").cast("long")).alias("n_train"))
+    role = held.groupBy("cls").agg(F.max("train").alias("train"), F.max(F.col("valid") | F.col("test")).alias("evals"), F.sum(F.col("train").cast("long")).alias("n_train"), F.sum((F.col("valid") | F.col("test")).cast("long")).alias("n_evals"))
     points = sets.groupBy("cls").agg(F.min(F.struct("n", "pts")).alias("p")).select("cls", "p.n", "p.pts")
     classes = materialise(points.join(role, "cls").where("train or evals"), "classes")
     form, near_mean = "cls binary, mx double, my double, bucket long", EPS + 1e-6
@@ -254,11 +256,16 @@ def overlaps(split_members: DataFrame, descriptors: DataFrame) -> DataFrame:
     found = found.join(pts.toDF("cls_t", "n", "pts_t"), "cls_t").join(pts.select("cls", "pts").toDF("cls_e", "pts_e"), "cls_e").where(F.length("pts_t") == F.length("pts_e"))
     near = found.mapInPandas(_verify, "cls_t binary, cls_e binary")
     near = near.unionByName(classes.where("train and evals").select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_e")))
-    salts = classes.where("train").select(F.col("cls").alias("cls_t"), F.ceil(F.col("n_train") / SALT_EVERY).cast("int").alias("salts"))
-    trains = held.where("train").select(F.col("cls").alias("cls_t"), F.col("key").alias("train_key")).join(salts, "cls_t").select("cls_t", "train_key", F.pmod(F.hash("train_key"), "salts").alias("salt"))
-    evals = held.select(F.col("cls").alias("cls_e"), F.col("key").alias("eval_key"), F.explode(F.filter(F.array(F.when(F.col("valid"), "valid"), F.when(F.col("test"), "test")), lambda x: x.isNotNull())).alias("split"))
-    pairs = near.join(evals, "cls_e").join(salts, "cls_t").select("split", "eval_key", "cls_t", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    pairs = pairs.join(trains, ["cls_t", "salt"]).where("train_key != eval_key").select("split", "train_key", "eval_key")
+    parts = lambda c: F.ceil(F.col(c) / SALT_EVERY).cast("int")
+    salts = classes.select("cls", parts("n_train").alias("ts"), parts("n_evals").alias("es"))
+    trains = held.where("train").select(F.col("cls").alias("cls_t"), F.col("key").alias("train_key")).join(salts.select(F.col("cls").alias("cls_t"), "ts"), "cls_t").select("cls_t", "train_key", F.pmod(F.hash("train_key"), "ts").alias("t"))
+    split = F.explode(F.filter(F.array(F.when(F.col("valid"), "valid"), F.when(F.col("test"), "test")), lambda x: x.isNotNull()))
+    evals = held.where("valid or test").select(F.col("cls").alias("cls_e"), F.col("key").alias("eval_key"), split.alias("split")).join(salts.select(F.col("cls").alias("cls_e"), "es"), "cls_e")
+    evals = evals.select("cls_e", "eval_key", "split", F.pmod(F.hash("eval_key"), "es").alias("e"))
+    # members of both sides come in parts, and every part of one meets every part of the other
+    pairs = near.join(salts.select(F.col("cls").alias("cls_e"), "es"), "cls_e").join(salts.select(F.col("cls").alias("cls_t"), "ts"), "cls_t")
+    pairs = pairs.select("cls_t", "cls_e", F.explode(F.expr("sequence(0, es - 1)")).alias("e"), "ts").select("cls_t", "cls_e", "e", F.explode(F.expr("sequence(0, ts - 1)")).alias("t"))
+    pairs = pairs.join(evals, ["cls_e", "e"]).join(trains, ["cls_t", "t"]).where("train_key != eval_key").select("split", "train_key", "eval_key")
     same = who.where("split != 'train'").join(who.where("split = 'train'").select("key"), "key").select("split", F.col("key").alias("train_key"), F.col("key").alias("eval_key"))
     return pairs.distinct().unionByName(same)
 

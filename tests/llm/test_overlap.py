@@ -52,6 +52,16 @@ def test_copies_meet_without_pairs_in_buckets(spark):
     assert got == sorted(("test", f"t{i}", f"e{j}") for i in range(30) for j in range(20))
 
 
+def test_members_of_large_classes_come_in_parts(spark, monkeypatch):
+    a, b = cloud(4), cloud(4)
+    b[0, 0] += 0.004
+    members = [(f"t{i}", "train", None) for i in range(9)] + [(f"e{i}", "test", None) for i in range(7)] + [(f"v{i}", "valid", None) for i in range(5)]
+    points = [(m[0], (a if i % 2 else b).tolist()) for i, m in enumerate(members)]
+    whole = run(spark, members, points)[0]
+    monkeypatch.setattr(V, "SALT_EVERY", 2)
+    assert run(spark, members, points)[0] == whole and len(whole) == 9 * 12
+
+
 def test_near_same_needs_a_pairing():
     a = np.array([[0, 0], [0.004, 0], [5, 5]], float)
     b = np.array([[0.002, 0], [0.1, 0], [5, 5]], float)
