@@ -8,8 +8,11 @@ repetition costs), patterns feed the sources of their set, sources have their qu
 arc takes what a source cannot get: its shortfall.
 
 The total is the largest at which every source reaches its quota, sought by bisection over the flow.
-Sources that could reach their share only of a total below LEAST of all tokens (such as a source
-without documents) do not hold it back: they give all they have and their shortfall is reported.
+Shares and size pull against each other where a source is small, so how far a source may hold the total
+back is stated: ``least`` (LEAST) is the smallest total, as a share of all tokens, that is accepted for
+the sake of a share. A source that reaches its share only of a smaller total (such as one without
+documents) gives all it has, and its shortfall is reported; ``holds_total`` of the report tells which
+sources the total was sought for.
 
 Selection: the contents of a pattern lie in seeded order on a line, one after the other, once for
 each permitted use; each source takes the stretch that the flow gave it, and a content is used as
@@ -69,11 +72,21 @@ def route(counts: dict[tuple[str, ...], int], want: dict[str, tuple[float, int]]
     return {k: net.sent(a) for k, a in give.items()}, {s: net.sent(a) for s, a in slack.items()}
 
 
+def most_tokens(counts: dict[tuple[str, ...], int], want: dict[str, tuple[float, int]]) -> dict[str, int]:
+    """What each source could give at most, its permitted repetitions counted."""
+    return {s: sum(n * min(want[x][1] for x in p) for p, n in counts.items() if s in p) for s in want}
+
+
+def holding(counts: dict[tuple[str, ...], int], want: dict[str, tuple[float, int]], least: float) -> dict[str, tuple[float, int]]:
+    """The sources that reach their share of a total of at least ``least`` of all tokens."""
+    have = most_tokens(counts, want)
+    return {s: w for s, w in want.items() if w[0] > 0 and have[s] >= w[0] * least * sum(counts.values())}
+
+
 def best_total(counts: dict[tuple[str, ...], int], want: dict[str, tuple[float, int]], least: float = LEAST) -> int:
     """The largest total at which no source falls short but those that cannot reach their share of a small total."""
-    everything = sum(counts.values())
-    have = {s: sum(n * min(want[x][1] for x in p) for p, n in counts.items() if s in p) for s in want}
-    held = {s: w for s, w in want.items() if w[0] > 0 and have[s] >= w[0] * least * everything}
+    have = most_tokens(counts, want)
+    held = holding(counts, want, least)
     if not held:
         return 0
     hold = lambda t: not any(route({tuple(x for x in p if x in held): n for p, n in counts.items() if any(x in held for x in p)}, held, t)[1].values())
@@ -84,7 +97,7 @@ def best_total(counts: dict[tuple[str, ...], int], want: dict[str, tuple[float,
     return low
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.VOCABULARY, total: int | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.VOCABULARY, total: int | None = None, seed: int = 5, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(mix, report): doc_id, source, uses and n_tokens of what is used; and per source what was asked, there and reached."""
     spark = documents.sparkSession
     want = wanted(mix_targets)
@@ -99,7 +112,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.V
     if len(got) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources share documents")
     counts = {tuple(r["pattern"]): r["n"] for r in sorted(got, key=lambda r: r["pattern"])}
-    total = best_total(counts, want) if total is None else total
+    total = best_total(counts, want, least) if total is None else total
+    sought = holding(counts, want, least)
     sent, _ = route(counts, want, total)
     stretches = []
     for p in counts:
@@ -116,7 +130,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = tokens.V
     up = lambda x: F.ceil(F.greatest(F.col(x) - F.col("at"), F.lit(0)) / F.col("length"))
     used = placed.join(F.broadcast(lines), "pattern").withColumn("uses", (up("high") - up("low")).cast("int")).where("uses > 0")
     out = used.select("content", "source", "uses").join(held, ["content", "source"]).select("doc_id", "source", "uses", "n_tokens")
-    target = spark.createDataFrame([(s, w, u, int(w * total)) for s, (w, u) in want.items()], "source string, target_share double, max_repeats int, quota_tokens long")
+    target = spark.createDataFrame([(s, w, u, int(w * total), s in sought) for s, (w, u) in want.items()], "source string, target_share double, max_repeats int, quota_tokens long, holds_total boolean")
     there = held.groupBy("source").agg(F.count(F.lit(1)).alias("documents_there"), F.sum("n_tokens").alias("tokens_there"))
     reached = out.groupBy("source").agg(F.count(F.lit(1)).alias("documents_used"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens_used"), F.max("uses").alias("most_uses"))
     told = F.broadcast(target).join(there, "source", "left").join(reached, "source", "left").fillna(0)

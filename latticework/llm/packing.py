@@ -165,10 +165,10 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP) -> DataFra
 
 
 def pack_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """Per capacity: documents, divided documents, bins, the least number of bins there could be, and the share of space used."""
+    """Per capacity: documents, divided documents, bins, the least number of bins there could be and the distance to it, and the share of space used."""
     bins = materialise(packed, "packed").groupBy("pack_id").agg(
         F.countDistinct("bin_id").alias("n_bins"), F.countDistinct("doc_id").alias("n_documents"), F.countDistinct(F.when(F.col("piece") > 0, F.col("doc_id"))).alias("n_divided"), F.sum("n_tokens").alias("n_tokens")
     )
     caps = capacities.select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity").cast("long").alias("capacity")).distinct()
     out = F.broadcast(caps).join(bins, "pack_id", "left").fillna(0)
-    return out.select("pack_id", "capacity", "n_documents", "n_divided", "n_tokens", "n_bins", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_bins"), F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.col("n_bins") * F.col("capacity")), F.lit(0.0)), 6).alias("share_used"))
+    return out.select("pack_id", "capacity", "n_documents", "n_divided", "n_tokens", "n_bins", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_bins"), (F.col("n_bins") - F.ceil(F.col("n_tokens") / F.col("capacity"))).alias("bins_above_least"), F.round(F.coalesce(F.try_divide(F.col("n_tokens"), F.col("n_bins") * F.col("capacity")), F.lit(0.0)), 6).alias("share_used"))

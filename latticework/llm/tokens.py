@@ -7,6 +7,7 @@ Null and empty texts have no tokens. Texts are passed over in batches, never row
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,8 +20,10 @@ from latticework.session import spread
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level vocabularies of this kind cut a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters that go to the encoder at once; a longer run without blanks is cut there, which adds at most one token a cut.
+#: Characters from which on a text is cut for the encoder, at the next place that no word of PATTERN spans, so that a cut adds no token.
 RUN = 50_000
+#: Before a blank between two characters that are none, and between an ASCII letter and a digit.
+CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-z])(?=[0-9])")
 
 
 @cache
@@ -33,13 +36,15 @@ def encoder(vocabulary: str):
 
 
 def pieces(text: str) -> Iterator[str]:
-    """The text in runs that are cheap to encode, cut before blanks where there are any."""
-    while len(text) > RUN:
-        at = max(text.rfind(" ", RUN // 2, RUN), text.rfind("\n", RUN // 2, RUN))
-        at = at if at > 0 else RUN
-        yield text[:at]
-        text = text[at:]
-    yield text
+    """The text in runs that are cheap to encode, each of whole words; one that has no place to cut stays whole."""
+    at = 0
+    while len(text) - at > RUN:
+        m = CUT.search(text, at + RUN)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def count(text: str | None, vocabulary: str = VOCABULARY) -> int:

@@ -58,3 +58,12 @@ def test_a_stated_total_and_the_route():
     sent, short = M.route(counts, want, 400)
     assert sum(n for (p, s), n in sent.items() if s == "a") == 200 and not any(short.values())
     assert M.route(counts, want, 2000)[1]["b"] > 0
+
+
+def test_how_far_a_small_source_holds_the_total_back_is_stated_and_told(spark):
+    rows = docs(200, "big") + docs(2, "small", 1000)
+    ask = [("big", 0.7, 1), ("small", 0.3, 1)]
+    _, free = mix(spark, rows, ask)
+    _, held = mix(spark, rows, ask, least=0.0)
+    assert not free["small"]["holds_total"] and free["small"]["shortfall_tokens"] > 0 and free["big"]["documents_used"] == 200
+    assert held["small"]["holds_total"] and held["small"]["shortfall_tokens"] == 0 and held["big"]["documents_used"] < 10
