@@ -20,8 +20,12 @@ def found(spark, runs, structures, heavy=None, bound=O.BROADCAST_ROWS):
     s = spark.createDataFrame([(*x, "x", 1) for x in structures], STRUCTURES)
     refs = O.references(r, F.col("calc_uuid"), id_key("atl_id"), F.col("recorded_at"))
     present = O.presence(s, id_key("atl_id"), F.col("recorded_at"), F.col("removed_at"))
-    heavy = O.heavy_keys(r, id_key("atl_id"), least=2) if heavy is None else heavy
-    return sorted(x["ident"] for x in O.orphans(refs, present, heavy, bound).collect())
+    groups = O.counted(refs)
+    heavy = O.heavy_keys(groups, least=2) if heavy is None else heavy
+    rows, counts = O.orphans(refs, present, O.judged(groups, present, heavy, bound), heavy, bound)
+    out = sorted(x["ident"] for x in rows.collect())
+    assert len(out) == sum(x["n"] for x in counts.collect())
+    return out
 
 
 def test_moments_and_spelling(spark):
@@ -46,6 +50,16 @@ def test_repeated_rows_and_touching_intervals(spark):
     assert found(spark, [("a", "ab1", day(5)), ("b", "ab1", day(8, 3)), ("c", "ab1", day(9, 3))], s) == ["c"]
 
 
+def test_groups_are_decided_whole_where_no_interval_cuts_them(spark):
+    r = spark.createDataFrame([("a", "k1", day(2)), ("b", "k1", day(9)), ("c", "k2", day(2)), ("d", "k3", day(1)), ("e", "k3", day(9))], "calc_uuid string, atl_id string, recorded_at timestamp_ntz")
+    s = spark.createDataFrame([("k1", day(1), None), ("k2", day(5), None), ("k3", day(5), None)], "atl_id string, recorded_at timestamp_ntz, removed_at timestamp_ntz")
+    refs = O.references(r, F.col("calc_uuid"), id_key("atl_id"), F.col("recorded_at"))
+    present = O.presence(s, id_key("atl_id"), F.col("recorded_at"), F.col("removed_at"))
+    for heavy, bound in (([], 9), (["k1", "k3"], 9), (["k1", "k3"], 0)):
+        got = {x["key"]: x["verdict"] for x in O.judged(O.counted(refs), present, heavy, bound).collect()}
+        assert got == {"k1": "there", "k2": "absent", "k3": "mixed"}
+
+
 def test_empty_tables(spark):
     assert found(spark, [], []) == []
     assert found(spark, [("a", "ab1", day(5))], []) == ["a"]
@@ -57,6 +71,6 @@ def test_report_counts_why(spark):
     s = spark.createDataFrame([("k1", day(1), None), ("k3", day(5), day(7))], "atl_id string, recorded_at timestamp_ntz, removed_at timestamp_ntz")
     refs = O.references(r, F.col("calc_uuid"), id_key("atl_id"), F.col("recorded_at"))
     present = O.presence(s, id_key("atl_id"), F.col("recorded_at"), F.col("removed_at"))
-    out = {x["period"]: x.asDict() for x in O.orphan_report(refs, present, O.orphans(refs, present, []), "t").collect()}
+    out = {x["period"]: x.asDict() for x in O.orphan_report(refs, present, O.orphans(refs, present, O.judged(O.counted(refs), present, []), [])[1], "t").collect()}
     assert out["2024-01"] | {"table_name": "t"} == {"table_name": "t", "period": "2024-01", "n_records": 4, "n_references": 4, "n_orphans": 3, "n_never": 1, "n_later": 1, "n_removed": 1}
     assert out["2024-02"]["n_records"] == 1 and out["2024-02"]["n_references"] == 0
