@@ -17,6 +17,21 @@ def read_toml(path: str) -> dict:
         return tomllib.load(f)
 
 
+def parse_toml(text: str) -> dict:
+    return tomllib.loads(text)
+
+
+def recommendation(rows: list[tuple[str, str, float]]) -> str:
+    """Settings by section as text that ``parse_toml`` reads: (section, key, value) in the order of sections and keys."""
+    out, last = [], None
+    for section, key, value in sorted(rows):
+        if section != last:
+            out += ["", f"[{section}]"] if out else [f"[{section}]"]
+            last = section
+        out.append(f"{key} = {value!r}")
+    return "\n".join(out) + "\n" if out else ""
+
+
 def at(tree: dict, path: str) -> Any:
     for part in path.split("."):
         if not isinstance(tree, dict) or part not in tree:

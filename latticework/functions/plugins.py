@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OFFERS = ("descriptors", "energies", "confidence", "train")
+#: descriptors, energies (also of pretrained models), confidence: functions of a pandas batch; gradients: of descriptors; train, compile: of a table.
+OFFERS = ("descriptors", "gradients", "energies", "confidence", "train", "compile", "pretrained")
 _BACKENDS: dict[str, dict[str, Callable]] = {}
 _FILTERS: dict[str, Callable[..., Column]] = {}
 
@@ -81,6 +82,31 @@ def committee(df: DataFrame, models: list[str], columns: list[str], key: str) ->
     return out.withColumn("energy", F.when(~F.isnan("energy"), F.col("energy")))
 
 
+def confidence(df: DataFrame, name: str, columns: list[str], key: str, how: str = "max") -> DataFrame:
+    """(key, confidence): a backend's ``confidence`` of each row's parts, reduced by max, min or mean; a row without parts has none."""
+    f = backend(name)["confidence"]
+    reduce = {"max": max, "min": min, "mean": lambda v: sum(v) / len(v)}[how]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            yield pd.DataFrame({key: batch[key].to_numpy(), "confidence": [float(reduce(v)) if len(v) else None for v in map(list, f(batch))]})
+
+    return df.select(key, *columns).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, confidence double")
+
+
+def checked(energies: Callable, most: float = 100.0, size: str = "n_atoms") -> Callable:
+    """A calculator that raises on an energy out of reach of physics instead of handing it on."""
+
+    def run(batch: pd.DataFrame) -> pd.Series:
+        e = pd.Series(energies(batch), dtype=float)
+        bad = e.isna().to_numpy() | (e.abs().to_numpy() > most * batch[size].clip(lower=1).to_numpy())
+        if bad.any():
+            raise ValueError(f"{int(bad.sum())} unphysical energies")
+        return e
+
+    return run
+
+
 def physical(energy: Column, n_atoms: Column, most: float = 100.0) -> Column:
     """Whether an energy per atom is within reach of physics."""
     return energy.isNotNull() & ~F.isnan(energy) & (F.abs(energy / F.greatest(n_atoms, F.lit(1))) <= most)

@@ -119,15 +119,21 @@ def with_features(df: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     return df.join(F.broadcast(stats)).select(ident, F.array(*z).alias("features"))
 
 
-def kernel_width(df: DataFrame, ident: str, vector: str, size: int = 500, seed: int = 420) -> DataFrame:
-    """(n_pairs, p10, median, p90): percentiles of the distances within a seeded sample of stated size."""
-    from latticework.functions.vector import euclidean
+def kernel_width(df: DataFrame, ident: str, vector: str, size: int = 10_000, seed: int = 420) -> DataFrame:
+    """(n_pairs, p10, median, p90): percentiles of the distances within a seeded sample of stated size (all rows if there are fewer), in one task."""
     from latticework.operators.selection import sample
 
-    s = sample(df.select(ident, vector), size, seed, ident)
-    a, b = s.select(F.col(ident).alias("ia"), F.col(vector).alias("va")), s.select(F.col(ident).alias("ib"), F.col(vector).alias("vb"))
-    d = a.join(F.broadcast(b), F.col("ia") < F.col("ib")).select(euclidean(F.col("va"), F.col("vb")).alias("d"))
-    return d.agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("d", 0.1).alias("p10"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.9).alias("p90"))
+    if size > 20_000:
+        raise ValueError(f"a sample of {size} rows does not fit one task")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(f[vector].tolist(), float).reshape(len(f), -1)
+        sq = (x * x).sum(1)
+        d = np.concatenate([np.zeros(0)] + [np.sqrt(np.maximum(sq[i] + sq[i + 1 :] - 2 * (x[i + 1 :] @ x[i]), 0)) for i in range(len(x))])
+        p = np.quantile(d, [0.1, 0.5, 0.9]) if len(d) else [None] * 3
+        return pd.DataFrame({"n_pairs": [len(d)], "p10": [p[0]], "median": [p[1]], "p90": [p[2]]})
+
+    return sample(df.select(ident, vector), size, seed, ident).groupBy().applyInPandas(run, "n_pairs long, p10 double, median double, p90 double")
 
 
 def penalties(pairs: DataFrame, least: float, reach: float, power: int = 6, most_ratio: float = 10.0, wanted: float = 2.0, width: float = 0.25) -> DataFrame:

@@ -42,7 +42,7 @@ def best_model(results: DataFrame, energy: str, force: str, weight: float = 0.1,
 def iqr_mask(df: DataFrame, value: str, by: list[str] | None = None, low: float = 0.3, high: float = 0.7, reach: float = 1.5) -> DataFrame:
     """``kept``: the value within the fences of the 30 % and 70 % points, else null."""
     q = df.groupBy(*(by or [])).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    joined = df.join(F.broadcast(q), by) if by else df.join(F.broadcast(q))
+    joined = df.join(q, by) if by else df.join(F.broadcast(q))  # one row
     a, b = F.col("_q")[0], F.col("_q")[1]
     inside = (F.col(value) >= a - reach * (b - a)) & (F.col(value) <= b + reach * (b - a))
     return joined.withColumn("kept", F.when(inside, F.col(value))).drop("_q")

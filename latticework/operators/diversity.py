@@ -74,7 +74,7 @@ def vendi_subsampled(df: DataFrame, ident: str, vector: str, size: int = 10_000,
     if size > LIMIT:
         raise ValueError(f"a subsample of {size} rows does not fit one task ({LIMIT})")
     n = df.count()
-    share = min(1.0, 1.2 * size / max(n, 1) + 0.01)
+    share = min(1.0, (size + 6 * math.sqrt(size) + 16) / max(n, 1))  # six deviations above the size
     each = df.select(ident, vector, F.explode(F.array(*[F.lit(i) for i in range(rounds)])).alias("round")).withColumn("k", F.md5(F.concat_ws(":", F.col("round").cast("string"), F.col(ident).cast("string"))))
     each = each.where(F.conv(F.substring("k", 1, 8), 16, 10).cast("double") < share * (1 << 32))
 

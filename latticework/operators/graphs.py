@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from latticework.session import materialise
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most_levels: int = 1_000) -> DataFrame:
-    """(root, node, depth): everything below each root. One equi-join a level; lineage is cut at each."""
+def descendants(edges: DataFrame, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """(root, node, depth): everything below each root. One equi-join a level; lineage is cut at each. A cycle raises."""
     level = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     found = None
     for depth in range(1, most_levels + 1):
@@ -18,11 +18,13 @@ def descendants(edges: DataFrame, roots: DataFrame, most_levels: int = 1_000) ->
         if level.isEmpty():
             break
         found = level if found is None else found.unionByName(level)
+    else:
+        raise ValueError(f"more than {most_levels} levels: the edges have a cycle or the limit is too low")
     return found if found is not None else level
 
 
 def root_of(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, root): by pointer doubling, so that a chain of n takes log n joins."""
+    """(node, root): by pointer doubling, so that a chain of n takes log n joins. A cycle raises."""
     up = nodes.select("node").join(edges.select(F.col("child").alias("node"), "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("at"))
     up = materialise(up, "up")
     for _ in range(most_rounds):
@@ -32,6 +34,8 @@ def root_of(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> DataFr
         up = two.select("node", "at")
         if not moved:
             break
+    else:
+        raise ValueError(f"roots not reached in {most_rounds} rounds: the edges have a cycle")
     return up.select("node", F.col("at").alias("root"))
 
 
@@ -52,4 +56,6 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> Dat
         lab = new.select("node", "c")
         if not moved:
             break
+    else:
+        raise ValueError(f"components not settled in {most_rounds} rounds")
     return lab.select("node", F.col("c").alias("component"))

@@ -202,10 +202,10 @@ def domain_counts(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("in_domain", F.greatest(F.col("after_filters") - F.col("out"), F.lit(0)))
 
 
-@query("""with s as (select p_brand as phase, p_size as v, avg(p_retailprice) as e from part where p_size % 5 = 0 group by 1, 2), r as (select phase, max(v) as rv from s group by 1),
+@query("""with s as (select p_brand as phase, p_size as v, avg(p_retailprice) as e from part group by 1, 2), r as (select phase, max(v) as rv from s group by 1),
 d as (select s.phase, s.v, abs(s.e - t.e) as de from s join r on s.phase = r.phase join s t on t.phase = s.phase and t.v = r.rv) select phase, min(v) filter (where de <= 30) as cheapest, round(max(de), 6) as worst, count(*) as n from d group by phase""")
 def convergence_sweep(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "part").where("p_size % 5 = 0").groupBy(F.col("p_brand").alias("phase"), F.col("p_size").alias("v")).agg(F.avg("p_retailprice").alias("e"))
+    s = table(spark, d, "part").groupBy(F.col("p_brand").alias("phase"), F.col("p_size").alias("v")).agg(F.avg("p_retailprice").alias("e"))
     ref = F.max_by("e", "v").over(Window.partitionBy("phase"))
     g = s.withColumn("de", F.abs(F.col("e") - ref)).groupBy("phase")
     return g.agg(F.min(F.when(F.col("de") <= 30, F.col("v"))).alias("cheapest"), F.round(F.max("de"), 6).alias("worst"), F.count(F.lit(1)).alias("n"))

@@ -71,10 +71,10 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return B.with_features(p, "id", ["p_size", "p_retailprice", "same"]).select("id", F.round(f[0], 6).alias("f1"), F.round(f[1], 6).alias("f2"), f[2].alias("f3"))
 
 
-@query("with s as (select vec_id, embedding::double[] as v from embeddings order by md5('420:' || vec_id), vec_id limit 200), d as (select sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as d from s a join s b on a.vec_id < b.vec_id) select count(*) as n_pairs, round(quantile_cont(d, 0.1), 6) as p10, round(quantile_cont(d, 0.5), 6) as median, round(quantile_cont(d, 0.9), 6) as p90 from d")
+@query("with s as (select vec_id, embedding::double[] as v from embeddings order by md5('420:' || vec_id), vec_id limit 10000), d as (select sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as d from s a join s b on a.vec_id < b.vec_id) select count(*) as n_pairs, round(quantile_cont(d, 0.1), 6) as p10, round(quantile_cont(d, 0.5), 6) as median, round(quantile_cont(d, 0.9), 6) as p90 from d")
 def kernel_width(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    w = B.kernel_width(e, "vec_id", "v", 200)
+    w = B.kernel_width(e, "vec_id", "v", 10_000)
     return w.select("n_pairs", *[F.round(c, 6).alias(c) for c in ("p10", "median", "p90")])
 
 

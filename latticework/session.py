@@ -30,9 +30,11 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = _LOCAL.setdefault("root", "file://" + tempfile.mkdtemp(prefix="latticework-"))
     return root.rstrip("/")
 

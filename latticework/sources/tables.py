@@ -83,6 +83,8 @@ def from_text(df: DataFrame, schema: str, column: str = "record") -> DataFrame:
 
 #: Atomic units.
 BOHR, HARTREE = 0.529177210903, 27.211386245988
+#: Boltzmann constant in eV per kelvin.
+BOLTZMANN = 8.617333262e-05
 
 
 def n2p2_record(comment: Column, atoms: Column, energy: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators.records import upsert
 from latticework.sources import logs, tables
 
 
@@ -30,13 +29,13 @@ def windowed(stream: DataFrame, at: str, value: str, width: str, late: str) -> D
 
 
 def keep_current(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str):
-    """Keep a stored table with the latest row of each key; returns the running query."""
+    """Keep a stored table with the latest row of each key by ``order``, whenever it arrives; returns the running query."""
 
     def merge(batch: DataFrame, _: int) -> None:
         from latticework.operators.records import keep_first
 
         spark = batch.sparkSession
-        new = keep_first(batch, key, F.desc(order))
-        tables.write(upsert(tables.read(spark, path), new, key) if tables.exists(spark, path) else new, path)
+        rows = batch.unionByName(tables.read(spark, path)) if tables.exists(spark, path) else batch
+        tables.write(keep_first(rows, key, F.desc(order)), path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
