@@ -99,6 +99,11 @@ def vacuum_wrong(height: Column, atoms_height: Column, wanted: Column, tolerance
     return F.abs(height - atoms_height - wanted) > tolerance
 
 
+def adjusted_height(height: Column, atoms_height: Column, wanted: Column, tolerance: float = 0.5) -> Column:
+    """The cell height that leaves the wanted vacuum, where it is off by more than the tolerance."""
+    return F.when(vacuum_wrong(height, atoms_height, wanted, tolerance), atoms_height + wanted).otherwise(height)
+
+
 def percentage(low: float, high: float, offset: float, seed: int, *ids: str) -> Column:
     """A share drawn evenly between the two ends of a phase's range, each moved inwards by the offset (in whichever order they then are)."""
     a, b = low + offset, high - offset

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations, product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,13 +195,30 @@ def sphere(n: int, spacing: float, seed: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"idx": range(n), "x": near[:, 0], "y": near[:, 1], "z": near[:, 2]})
 
 
-def clusters(spark, requests: DataFrame, spacing: float) -> DataFrame:
-    """(id, idx, element, x, y, z) of one spherical cluster per request (id, element, n)."""
+def wulff(n: int, spacing: float, energies: dict[tuple[int, int, int], float] | None = None) -> pd.DataFrame:
+    """(idx, x, y, z): the n atoms of a face-centred cubic crystal that lie in the smallest Wulff shape holding them.
+
+    ``energies`` gives the surface energy of plane families; an atom's rank is its largest height over a plane's energy. Ties by place.
+    """
+    energies = energies or {(1, 0, 0): 1.1, (1, 1, 0): 1.15, (1, 1, 1): 1.0}
+    planes = [(np.array(p, float) / np.linalg.norm(p), e) for family, e in energies.items() for p in {tuple(s * v for s, v in zip(sign, perm, strict=True)) for perm in permutations(family) for sign in product((1, -1), repeat=3)}]
+    side = int(np.ceil((n / 4) ** (1 / 3))) + 2
+    a = spacing * np.sqrt(2)
+    base = np.array([[0, 0, 0], [0, 0.5, 0.5], [0.5, 0, 0.5], [0.5, 0.5, 0]])
+    grid = np.array(np.meshgrid(*[np.arange(-side, side + 1)] * 3)).reshape(3, -1).T
+    pts = (grid[:, None] + base[None]).reshape(-1, 3) * a
+    rank = np.round(np.max([pts @ d / e for d, e in planes], axis=0), 9)
+    near = pts[np.lexsort((pts[:, 2], pts[:, 1], pts[:, 0], (pts**2).sum(1).round(9), rank))[:n]]
+    return pd.DataFrame({"idx": range(n), "x": near[:, 0], "y": near[:, 1], "z": near[:, 2]})
+
+
+def clusters(spark, requests: DataFrame, spacing: float, shape: str = "sphere") -> DataFrame:
+    """(id, idx, element, x, y, z) of one cluster per request (id, element, n): a sphere or a Wulff shape."""
 
     def run(frames):
         for f in frames:
             for r in f.itertuples():
-                yield sphere(int(r.n), spacing, int(r.id)).assign(id=r.id, element=r.element)[["id", "idx", "element", "x", "y", "z"]]
+                yield (sphere(int(r.n), spacing, int(r.id)) if shape == "sphere" else wulff(int(r.n), spacing)).assign(id=r.id, element=r.element)[["id", "idx", "element", "x", "y", "z"]]
 
     return requests.select(F.col("id").cast("long").alias("id"), "element", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
 

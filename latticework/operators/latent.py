@@ -41,3 +41,17 @@ def nearest_to(targets: DataFrame, rows: DataFrame, vector: str, k: int, *ids: s
     d = rows.select("*", F.inline(each)).withColumn("dist", euclidean(F.col(vector), F.col("target")))
     w = Window.partitionBy("tid").orderBy("dist", *ids)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("target")
+
+
+def nearest_within(centres: DataFrame, points: DataFrame, centre: str, key: str, radius: float) -> DataFrame:
+    """(centre, key, dist): the nearest point of each view centre within a radius; none where there is none.
+
+    Both sides meet in cells of the radius, a centre in the nine about it; ties go to the smaller key. Distances to nine places.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    ask = centres.withColumn("_di", F.explode(near)).withColumn("_dj", F.explode(near)).select(centre, "tx", "ty", (cell("tx") + F.col("_di")).alias("_i"), (cell("ty") + F.col("_dj")).alias("_j"))
+    both = ask.join(points.select(key, "x", "y", cell("x").alias("_i"), cell("y").alias("_j")), ["_i", "_j"])
+    d = F.round(F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))), 9)
+    best = both.withColumn("dist", d).where(F.col("dist") <= radius).groupBy(centre).agg(F.min(F.struct("dist", key)).alias("b"))
+    return best.select(centre, f"b.{key}", "b.dist")

@@ -207,10 +207,11 @@ def committee_of_backends(spark: SparkSession, d: str) -> DataFrame:
     return plugins.committee(table(spark, d, "part"), ["twice", "once", "broken"], ["p_size"], "p_partkey")
 
 
-@query("select p_partkey, a::int as atom_idx, [a::double, a::double * p_size] as embedding from part, (select unnest(range(0, 3)) as a) where a < 1 + p_size % 3")
+@query("select p_partkey, a::int as atom_idx, a::double as e1, a::double * p_size as e2 from part, (select unnest(range(0, 3)) as a) where a < 1 + p_size % 3")
 def described_by_a_backend(spark: SparkSession, d: str) -> DataFrame:
     _offer()
-    return plugins.describe(table(spark, d, "part"), "twice", ["p_size"], "p_partkey").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    e = F.col("embedding")
+    return plugins.describe(table(spark, d, "part"), "twice", ["p_size"], "p_partkey").select("p_partkey", "atom_idx", e[0].cast("double").alias("e1"), e[1].cast("double").alias("e2"))
 
 
 @query("select p_partkey, p_size / 10.0::double as confidence from part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from latticework.functions import geometry as G
 from latticework.functions import vector as V
 from latticework.functions.ids import SQL_KEY, id_key
 from latticework.operators import diversity, latent
-from latticework.session import table
+from latticework.session import materialise, table
 
 QUERIES, ORACLES = {}, {}
 KEY = SQL_KEY.format(c="atl_id")
@@ -148,11 +149,72 @@ def circles(spark: SparkSession, d: str) -> DataFrame:
     return diversity.circles(_e(spark, d), "vec_id", "v", 0.8)
 
 
+def _cloud(spark: SparkSession, d: str) -> tuple[list, list, float]:
+    """All averaged latent points as those that bound them, their weights, and the mean nearest distance of all."""
+    from latticework.operators import hulls
+
+    p = materialise(_latent(spark, d), "latent")
+    got = hulls.extremes(p, "x", "y").orderBy("x", "y").collect()  # at most LIMIT
+    return [(r["x"], r["y"]) for r in got], [float(r["n"]) for r in got], hulls.mean_nearest(p, "x", "y")
+
+
 @query()
 def concave_hull(spark: SparkSession, d: str) -> DataFrame:
-    from latticework.operators.hulls import LIMIT, concave_hull as hull
+    from latticework.operators import hulls
+
+    points, weights, distance = _cloud(spark, d)
+    ring, alpha = hulls.concave_hull(np.array(points).reshape(-1, 2), distance=distance, weights=np.array(weights))
+    return spark.createDataFrame([(i, float(x), float(y), float(alpha)) for i, (x, y) in enumerate(ring)], "corner int, x double, y double, alpha double")
 
-    grid = _latent(spark, d).groupBy(F.round("x", 1).alias("gx"), F.round("y", 1).alias("gy")).count()  # one point a cell bounds the cloud by its extent
-    points = [(r["gx"], r["gy"]) for r in grid.select("gx", "gy").orderBy("gx", "gy").limit(LIMIT + 1).collect()]
-    ring, alpha = hull(points)
+
+@query()
+def optimised_hull(spark: SparkSession, d: str) -> DataFrame:
+    from latticework.operators import hulls
+
+    ring, alpha = hulls.optimised_hull(np.array(_cloud(spark, d)[0]).reshape(-1, 2), exact=0.05)
     return spark.createDataFrame([(i, float(x), float(y), float(alpha)) for i, (x, y) in enumerate(ring)], "corner int, x double, y double, alpha double")
+
+
+@query(f"with {L}, p as (select distinct x, y from m where x is not null and y is not null and not isnan(x) and not isnan(y)), n as (select a.x, a.y, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as d from p a join p b on a.x <> b.x or a.y <> b.y group by 1, 2) select round(avg(d), 6) as mean_nearest from n")
+def mean_nearest_distance(spark: SparkSession, d: str) -> DataFrame:
+    from latticework.operators import hulls
+
+    return spark.createDataFrame([(round(hulls.mean_nearest(_latent(spark, d), "x", "y"), 6),)], "mean_nearest double")
+
+
+@query("select n_nationkey * 1.0::double as width, n_nationkey / 2.0::double as cx, (n_regionkey + 1) / 2.0::double as cy, n_nationkey * (n_regionkey + 1.0)::double as area from nation where n_nationkey > 0")
+def polygon_centroids(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").where("n_nationkey > 0").select(F.col("n_nationkey").cast("double").alias("w"), (F.col("n_regionkey") + 1.0).alias("h"))
+    rows = []
+    for r in n.collect():  # 24 boxes
+        box = [(0.0, 0.0), (r["w"], 0.0), (r["w"], r["h"]), (0.0, r["h"])]
+        rows.append((r["w"], *(float(x) for x in G.centroid(box)), float(G.area(box))))
+    return spark.createDataFrame(rows, "width double, cx double, cy double, area double")
+
+
+@query("select unnest(['leaves hold every point once', 'no leaf holds more than its capacity', 'dense leaves are as wide at most', 'dense leaves are as dense at least']) as rule, true as holds")
+def quadtree_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Invariants of the quadtree over the bounding points: capacity 1.5 %, margin a tenth."""
+    from latticework.operators import hulls
+
+    p = np.unique(np.array(_cloud(spark, d)[0]).reshape(-1, 2), axis=0)
+    capacity = max(1, int(0.015 * len(p)))
+    boxes = hulls.leaves(p, capacity)
+    widths = sorted(b[2] for b in boxes)
+    width = widths[len(widths) // 4]
+    density = len(p) / sum(b[2] * b[3] for b in boxes)
+    rules = [
+        ("leaves hold every point once", sum(b[4] for b in boxes) == len(p)), ("no leaf holds more than its capacity", max(b[4] for b in boxes) <= capacity),
+        ("dense leaves are as wide at most", all(b[2] <= width and b[4] for b in hulls.dense_leaves(boxes, width=width))), ("dense leaves are as dense at least", all(b[4] / b[2] / b[3] >= density for b in hulls.dense_leaves(boxes, density=density))),
+    ]
+    return spark.createDataFrame([(r, bool(h)) for r, h in rules], "rule string, holds boolean")
+
+
+@query("with recursive b as (select n_nationkey as i, (n_nationkey * 7 % 25)::double as x, (n_nationkey * 11 % 13)::double as y from nation), t as (select u.i, v.i as j from b u join b v on u.x <= v.x + 1.5 and v.x <= u.x + 1.5 and u.y <= v.y + 1 and v.y <= u.y + 1), r as (select i, j from t union select r.i, t.j from r join t on r.j = t.i) select i as box, min(j) as cluster from r group by i")
+def touching_boxes(spark: SparkSession, d: str) -> DataFrame:
+    from latticework.operators import hulls
+
+    rows = sorted(r["n_nationkey"] for r in table(spark, d, "nation").select("n_nationkey").collect())  # 25 boxes
+    of = hulls.touching([(float(i * 7 % 25), float(i * 11 % 13), 1.5, 1.0) for i in rows])
+    first = {c: min(i for i, o in zip(rows, of, strict=True) if o == c) for c in of}
+    return spark.createDataFrame([(i, first[c]) for i, c in zip(rows, of, strict=True)], "box long, cluster long")

@@ -332,7 +332,7 @@ def test_config():
 def test_plugins(spark):
     plugins.register_backend("flat", descriptors=lambda b: [[[float(n)]] * int(n) for n in b["n"]], energies=lambda b: -1.0 * b["n"])
     plugins.register_backend("broken", energies=lambda b: 1 / 0)
-    assert plugins.backends("descriptors") == ["flat"]
+    assert "flat" in plugins.backends("descriptors") and "broken" not in plugins.backends("descriptors")
     with pytest.raises(KeyError):
         plugins.backend("nothing")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int")
