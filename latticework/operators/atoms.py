@@ -116,9 +116,18 @@ def magic_numbers(n_max: int = 25) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n_max)), lambda n: ((10 * n * n * n + 15 * n * n + 11 * n) / 3).cast("long") + 1)
 
 
-def kmesh(lengths: Column, spacing: float, vacuum_axis: Column | None = None) -> Column:
-    """Points per axis for cell lengths: reciprocal length over spacing, rounded half-even, at least one; one along a vacuum axis."""
+def reciprocal_lengths(cell: Column) -> Column:
+    """Lengths of the reciprocal vectors (with 2 pi) of a cell of nine numbers, row by row; null for a flat cell."""
     import math
 
-    per = F.transform(lengths, lambda x, i: F.when(vacuum_axis == i, 1).otherwise(F.greatest(F.lit(1), F.bround(2 * math.pi / x / spacing).cast("int"))) if vacuum_axis is not None else F.greatest(F.lit(1), F.bround(2 * math.pi / x / spacing).cast("int")))
-    return per
+    v = [[cell[3 * i + j] for j in range(3)] for i in range(3)]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    volume = F.abs(sum(p * q for p, q in zip(v[0], cross(v[1], v[2]), strict=True)))
+    norm = lambda a: F.sqrt(sum(x * x for x in a))
+    return F.array(*[2 * math.pi * F.try_divide(norm(cross(v[(i + 1) % 3], v[(i + 2) % 3])), volume) for i in range(3)])
+
+
+def kmesh(reciprocal: Column, spacing: float, vacuum_axis: Column | None = None) -> Column:
+    """Points per axis for reciprocal lengths: length over spacing, rounded half-even, at least one; one along a vacuum axis."""
+    points = lambda x: F.greatest(F.lit(1), F.bround(x / spacing).cast("int"))
+    return F.transform(reciprocal, lambda x, i: F.when(vacuum_axis == i, 1).otherwise(points(x)) if vacuum_axis is not None else points(x))

@@ -86,29 +86,58 @@ def vendi_subsampled(df: DataFrame, ident: str, vector: str, size: int = 10_000,
     return each.groupBy("round").applyInPandas(one, "round int, n long, score double")
 
 
-def farthest(df: DataFrame, ident: str, vector: str, n: int, start: np.ndarray | None = None) -> DataFrame:
-    """(ident, rank, distance): n rows, each the farthest from those before. Every step is one pass that keeps a maximum.
+#: Rows that one pass of the farthest-point selection hands to the driver.
+CANDIDATES = 2_048
 
-    Distances to what is selected are carried as a column; ties go to the smaller id.
-    """
-    from latticework.functions.vector import euclidean
-    from latticework.session import materialise
 
+def farthest(df: DataFrame, ident: str, vector: str, n: int, start: np.ndarray | None = None, most: int = CANDIDATES) -> DataFrame:
+    """(ident, rank, distance): n rows, each the farthest from those before (and from ``start``); ties go to the smaller id.
+
+    A pass gives the ``most`` rows that are farthest from what is selected. A row's distance to the selected only falls, so the
+    best of these is the best of all while it exceeds the least that came; only then another pass is made. The selection is that of
+    one pass a row. Rows without a vector or of another length than the first take no part; the first distance is infinite without ``start``.
+    """
     spark = df.sparkSession
-    held = df.select(ident, vector, F.lit(math.inf).alias("near"))
-    if start is not None:
-        for s in start:
-            held = held.withColumn("near", F.least("near", euclidean(F.col(vector), F.array(*[F.lit(float(v)) for v in s]))))
-    out = []
-    for rank in range(n):
-        top = held.orderBy(F.desc("near"), ident).limit(1).collect()
-        if not top or (out and top[0]["near"] <= 0):
+    kind, form = dict(df.dtypes)[ident], dict(df.dtypes)[vector]
+    first = df.where(F.col(vector).isNotNull()).orderBy(ident).select(ident, vector).limit(1).collect()
+    held = [np.asarray(v, float) for v in (start if start is not None else [])]
+    out: list[tuple] = []
+    if first and not held and n > 0:
+        out.append((first[0][ident], 0, math.inf))
+        held.append(np.asarray(first[0][vector], float))
+    rows = df.where(F.size(vector) == len(first[0][vector])).select(ident, vector) if first else df.limit(0)
+    taken = {o[0] for o in out}
+    while first and len(out) < n:
+        chosen = spark.sparkContext.broadcast(np.array(held))
+
+        def near(frames, chosen=chosen):
+            y = chosen.value
+            for f in frames:
+                x = np.array(f[vector].tolist(), float).reshape(len(f), -1)
+                d = np.concatenate([np.sqrt(((x[s : s + 256, None] - y[None]) ** 2).sum(2)).min(1) for s in range(0, len(x), 256)]) if len(x) else np.zeros(0)
+                f = f.assign(near=d)
+                yield f.sort_values(["near", ident], ascending=[False, True], kind="stable").head(most)
+
+        got = rows.mapInPandas(near, f"{ident} {kind}, {vector} {form}, near double").orderBy(F.desc("near"), ident).limit(most).collect()
+        whole, bound = len(got) < most, got[-1]["near"] if got else 0.0
+        got = [r for r in got if r[ident] not in taken]
+        if not got:
+            break
+        ids, x, d = [r[ident] for r in got], np.array([r[vector] for r in got], float), np.array([r["near"] for r in got])
+        began = len(out)
+        while len(out) < n:
+            best = float(d.max())
+            if best <= 0 or (not whole and best <= bound and len(out) > began):
+                break
+            i = min(np.flatnonzero(d == best), key=lambda i: ids[i])
+            out.append((ids[i], len(out), best))
+            held.append(x[i])
+            taken.add(ids[i])
+            d = np.minimum(d, np.sqrt(((x - x[i]) ** 2).sum(1)))
+            d[i] = -1.0
+        if len(out) == began:
             break
-        out.append((top[0][ident], rank, float(top[0]["near"])))
-        held = held.withColumn("near", F.least("near", euclidean(F.col(vector), F.array(*[F.lit(float(v)) for v in top[0][vector]]))))
-        if rank % 8 == 7:
-            held = materialise(held, "farthest")
-    return spark.createDataFrame(out, f"{ident} {dict(df.dtypes)[ident]}, rank int, distance double")
+    return spark.createDataFrame(out, f"{ident} {kind}, rank int, distance double")
 
 
 def _unit_rows(vectors) -> np.ndarray:

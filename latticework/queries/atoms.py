@@ -146,11 +146,16 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     return phases.select("phase", F.explode(each).alias("g")).select("phase", "g.*")
 
 
-@query("select p_partkey as id, greatest(1, round_even(2 * pi() / (p_size + 2.5) / 0.2, 0))::int as ka, 1 as kc from part")
+@query("with c as (select p_partkey as id, p_size + 2.5 as a, p_size + 30.0 as h from part) select id, greatest(1, round_even(2 * pi() / (a * sin(pi() / 3)) / 0.2, 0))::int as ka, greatest(1, round_even(2 * pi() / (a * sin(pi() / 3)) / 0.2, 0))::int as kb, 1 as kc from c")
 def k_mesh(spark: SparkSession, d: str) -> DataFrame:
-    lengths = F.array(F.col("p_size") + 2.5, F.col("p_size") + 30.0)
-    mesh = A.kmesh(lengths, 0.2, F.lit(1))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), mesh[0].alias("ka"), mesh[1].alias("kc"))
+    """Hexagonal cells with a vacuum along the third axis."""
+    import math
+
+    a = F.col("p_size") + 2.5
+    zero = F.lit(0.0)
+    cell = F.array(a, zero, zero, -a / 2, a * math.sin(math.pi / 3), zero, zero, zero, F.col("p_size") + 30.0)
+    mesh = A.kmesh(A.reciprocal_lengths(cell), 0.2, F.lit(2))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), mesh[0].alias("ka"), mesh[1].alias("kb"), mesh[2].alias("kc"))
 
 
 @query("with e as (select vec_id, label, embedding::double[] as v from embeddings), x as (select b.vec_id, min(a.vec_id) as first from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.25 group by 1) select vec_id, first from x")
@@ -158,6 +163,10 @@ def repeats_any(spark: SparkSession, d: str) -> DataFrame:
     return repeats.any_earlier(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "embedding", 64, 0.25)
 
 
-@query()
+@query("""with recursive e as (select vec_id, label, embedding::double[] as v, row_number() over (partition by label order by vec_id) as k from embeddings), u as (select vec_id, label, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+g as (select label, k, vec_id, null::bigint as repeat_of, [{'id': vec_id, 'v': v}] as kept from u where k = 1 union all
+select label, k, vec_id, b.id as repeat_of, case when b.id is null then list_append(kept, {'id': vec_id, 'v': v}) else kept end as kept
+from (select u.label, u.k, u.vec_id, u.v, g.kept, list_max(list_filter(list_transform(g.kept, lambda x: {'s': list_dot_product(x.v, u.v), 'o': -x.id, 'id': x.id}), lambda x: x.s >= 0.25)) as b from g join u on u.label = g.label and u.k = g.k + 1))
+select vec_id, repeat_of from g""")
 def repeats_greedy(spark: SparkSession, d: str) -> DataFrame:
     return repeats.greedy(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "embedding", 0.25)

@@ -11,6 +11,7 @@ from latticework.operators import checks as C
 from latticework.operators import records as R
 from latticework.queries.atoms import COORD, PAIRS, T, _a, _radius
 from latticework.queries.index import SQL_FLAGGED
+from latticework.queries.vectors import sql_farthest
 from latticework.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -100,7 +101,7 @@ def strategy_lowest(spark: SparkSession, d: str) -> DataFrame:
     return runs.orderBy(F.asc_nulls_last("energy"), "calc_uuid", "recorded_at").limit(30)
 
 
-@query()
+@query(f"select vec_id from ({sql_farthest(8, '0, 1')})")
 def strategy_fps(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     first = [r["v"] for r in e.where("vec_id in (0, 1)").collect()]

@@ -139,12 +139,28 @@ def vendi_subsampled(spark: SparkSession, d: str) -> DataFrame:
     return diversity.vendi_subsampled(_e(spark, d), "vec_id", "v", size=10_000, rounds=4, sigma=None).select("round", "n", F.round("score", 6).alias("score"))
 
 
-@query()
+def sql_farthest(n: int, start: str = "") -> str:
+    """The selection step by step: the farthest row, then every row's distance to what is selected."""
+    dist = "sqrt(list_sum(list_transform(list_zip(n.v, s.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+    first = f"(select min({dist}) from e s where s.vec_id in ({start}))" if start else "'inf'::double"
+    parts = ["e as materialized (select vec_id, embedding::double[] as v from embeddings)", f"n0 as materialized (select vec_id, v, {first} as near from e n)"]
+    for i in range(n):
+        parts.append(f"s{i} as materialized (select vec_id, v, near from n{i} order by near desc, vec_id limit 1)")
+        parts.append(f"n{i + 1} as materialized (select n.vec_id, n.v, least(n.near, {dist}) as near from n{i} n, s{i} s)")
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select vec_id, {i} as rank, case when isinf(near) then null else round(near, 6) end as distance from s{i}" for i in range(n))
+
+
+@query(sql_farthest(10))
 def farthest_points(spark: SparkSession, d: str) -> DataFrame:
-    return diversity.farthest(_e(spark, d), "vec_id", "v", 10)
+    f = diversity.farthest(_e(spark, d), "vec_id", "v", 10)
+    return f.select("vec_id", "rank", F.when(F.col("distance") < float("inf"), F.round("distance", 6)).alias("distance"))
 
 
-@query()
+@query("""with recursive e as (select vec_id, embedding::double[] as v, row_number() over (order by md5('0:' || vec_id), vec_id) as k from embeddings), u as materialized (select vec_id, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from e),
+g as (select k, vec_id, true as keep, [v] as kept from u where k = 1 union all
+select k, vec_id, keep, case when keep then list_append(kept, v) else kept end as kept
+from (select u.k, u.vec_id, u.v, g.kept, coalesce(list_bool_and(list_transform(g.kept, lambda x: 1 - list_dot_product(x, u.v) > 0.8)), true) as keep from g join u on u.k = g.k + 1))
+select vec_id, (row_number() over (order by k) - 1)::int as rank from g where keep""")
 def circles(spark: SparkSession, d: str) -> DataFrame:
     return diversity.circles(_e(spark, d), "vec_id", "v", 0.8)
 
