@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.ids import id_key
 from latticework.llm.flow import Flow
+from latticework.session import materialise
 
 FIELDS = ("phase", "struct_type", "modifications")
 BUCKETS = 4_096
@@ -260,7 +261,7 @@ def draw(structures: DataFrame, sampling_targets: DataFrame, seed: int = 11, fil
     """(sample, report): request_id, key and its categories; and per request and category what was asked, there and drawn."""
     spark = structures.sparkSession
     requests = targets(sampling_targets)
-    rows = _classified(current(structures), requests)
+    rows = materialise(_classified(current(structures), requests), "classified")  # counted and drawn from
     held = rows.groupBy(*FIELDS).count().limit(MOST_CELLS + 1).collect() if requests else []
     if len(held) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells of named categories")
