@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: descriptors, energies (also of pretrained models), confidence: functions of a pandas batch; gradients: of descriptors; train, compile: of a table.
-OFFERS = ("descriptors", "gradients", "energies", "confidence", "train", "compile", "pretrained")
+#: descriptors, frames (of a simulation), energies (also of pretrained models), confidence: functions of a pandas batch; gradients: of descriptors; train, compile: of a table.
+OFFERS = ("descriptors", "gradients", "energies", "frames", "confidence", "train", "compile", "pretrained")
 _BACKENDS: dict[str, dict[str, Callable]] = {}
 _FILTERS: dict[str, Callable[..., Column]] = {}
 
@@ -130,3 +130,15 @@ def _high_energy(limit: float = -3.4) -> Column:
 @filter_rule("no_phase")
 def _no_phase() -> Column:
     return F.col("phase").isNull()
+
+
+def trajectories(df: DataFrame, name: str, columns: list[str], key: str) -> DataFrame:
+    """(key, frame, energy) by a backend's ``frames``: a function of a pandas batch that gives one series of energies per row."""
+    f = backend(name)["frames"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            rows = [(k, i, float(e)) for k, series in zip(batch[key], f(batch), strict=True) for i, e in enumerate(series)]
+            yield pd.DataFrame(rows, columns=[key, "frame", "energy"])
+
+    return df.select(key, *columns).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, frame int, energy double")

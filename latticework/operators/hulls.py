@@ -41,10 +41,13 @@ def _circles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a + u, (u * u).sum(1)
 
 
-def alpha_shape(points: np.ndarray, alpha: float) -> list[list[tuple[float, float]]]:
-    """Rings around the triangles whose circumradius is below 1/alpha (all of them for alpha 0), the largest first."""
-    pts = np.unique(np.asarray(points, float), axis=0)
-    tri = triangulate(pts)
+def alpha_shape(points: np.ndarray, alpha: float, triangles: np.ndarray | None = None) -> list[list[tuple[float, float]]]:
+    """Rings around the triangles whose circumradius is below 1/alpha (all of them for alpha 0), the largest first.
+
+    ``triangles`` are those of ``points`` where they are known; then points are distinct and sorted.
+    """
+    pts = np.unique(np.asarray(points, float), axis=0) if triangles is None else points
+    tri = triangulate(pts) if triangles is None else triangles
     if len(tri):
         _, r2 = _circles(pts, tri)
         tri = tri[r2 < (np.inf if alpha <= 0 else 1 / alpha**2)]
@@ -139,9 +142,10 @@ def concave_hull(points: np.ndarray, alphas: tuple[float, float] = (3.0, 8.0), d
     w = np.bincount(at.ravel(), np.ones(len(at.ravel())) if weights is None else weights)
     near = nearest_distance(pts) if distance is None else distance
     alpha = float(np.clip(scale / near, *alphas)) if near > 0 else default
+    tri = triangulate(pts)
     step, least, gap = 0.1 * alpha, 0.001 * alpha, abs(1.0 - outside)
     for _ in range(tries + 1):
-        rings = alpha_shape(pts, alpha)
+        rings = alpha_shape(pts, alpha, tri)
         if not rings:
             return convex_hull(pts), 0.0
         used, share = alpha, _share_outside(rings[0], pts, w)
@@ -167,9 +171,10 @@ def optimised_hull(points: np.ndarray, alphas: tuple[float, float] = (0.0, 10.0)
     low, span = pts.min(0), np.ptp(pts, axis=0)
     span[span == 0] = 1.0
     unit = (pts - low) / span
+    tri = triangulate(unit)
 
     def cost(alpha: float) -> float:
-        rings = alpha_shape(unit, alpha)
+        rings = alpha_shape(unit, alpha, tri)
         if not rings:
             return 1e9 + 1e3 * alpha
         c = np.array(centroid(rings[0]))
@@ -191,7 +196,7 @@ def optimised_hull(points: np.ndarray, alphas: tuple[float, float] = (0.0, 10.0)
             y = a + g * (b - a)
             fy = cost(y)
     best = x if fx <= fy else y
-    rings = alpha_shape(unit, best)
+    rings = alpha_shape(unit, best, tri)
     ring = rings[0] if rings else convex_hull(unit)
     return [tuple(map(float, low + np.array(q) * span)) for q in ring], float(best)
 

@@ -138,3 +138,55 @@ def energy_drift(series: DataFrame, by: list[str], time: str, energy: str) -> Da
 def excess_energy(total: Column, n: Column, bulk: Column) -> Column:
     """Energy of a cluster beyond its bulk, per surface atom's count n^(2/3)."""
     return (total - n * bulk) / F.pow(n.cast("double"), F.lit(2 / 3))
+
+
+def next_batch(queue: DataFrame, done: DataFrame, key: str, order: list[str], running: int, most: int) -> DataFrame:
+    """What to submit next: queued ids without a result, in order, as many as there are free places."""
+    free = max(0, most - running)
+    return queue.join(done.select(key).distinct(), key, "left_anti").dropDuplicates([key]).orderBy(*order, key).limit(free)
+
+
+def has_room(running: Column, asked: Column, capacity: Column) -> Column:
+    """Whether a scheduler takes so many more; an unknown load counts as none, an unknown capacity has no room."""
+    return F.coalesce(F.coalesce(running, F.lit(0)) + F.coalesce(asked, F.lit(0)) <= capacity, F.lit(False))
+
+
+def unique_name(base: Column, stamp: Column, *parts: Column) -> Column:
+    """A model's name: its base, a stamp of date and time, and a short digest of what else tells it apart."""
+    return F.concat_ws("_", base, F.date_format(stamp, "yyyyMMdd'T'HHmmss"), F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8))
+
+
+#: Electronvolts of one unit of energy.
+ENERGY_UNITS = {"eV": 1.0, "Ha": 27.211386245988, "meV": 1e-3}
+
+
+def payload(energy: Column, forces: Column, unit: str) -> Column:
+    """(energy, forces, largest) of a calculation in a unit of energy (forces per ångström); nulls stay nulls."""
+    if unit not in ENERGY_UNITS:
+        raise ValueError(f"no unit {unit!r}; there are {sorted(ENERGY_UNITS)}")
+    k = 1 / ENERGY_UNITS[unit]
+    scaled = F.transform(forces, lambda f: f * k)
+    return F.struct((energy * k).alias("energy"), scaled.alias("forces"), F.array_max(F.transform(scaled, lambda f: F.abs(f))).alias("largest"))
+
+
+def annotated(results: DataFrame, target: list[str], got: list[str], limit: float) -> DataFrame:
+    """Results of an inversion with their diagnostics: ``miss`` (distance of what was got to the target) and ``reached`` (within a limit)."""
+    miss = F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(target, got, strict=True)), F.lit(0.0)))
+    return results.withColumn("miss", miss).withColumn("reached", F.coalesce(F.col("miss") <= limit, F.lit(False)))
+
+
+def located(files: DataFrame, path: str, wanted: list[str]) -> DataFrame:
+    """(name, path): of every wanted file name the path that holds it, the shortest and then the first; null where none does."""
+    name = F.element_at(F.split(path, "/"), -1)
+    best = files.where(name.isin(*wanted)).groupBy(name.alias("name")).agg(F.min(F.struct(F.length(path), F.col(path).alias("path"))).alias("b"))
+    names = files.sparkSession.createDataFrame([(w,) for w in wanted], "name string")
+    return names.join(best, "name", "left").select("name", "b.path")
+
+
+def dataset_size(counts: DataFrame, n: str, repeats: dict[str, float], kept: float = 1.0) -> DataFrame:
+    """How many structures a configured pipeline makes of each row's count: each stage adds its copies of all before it, then a share is kept."""
+    total = F.col(n).cast("double")
+    for stage, copies in repeats.items():
+        total = total * (1 + copies)
+        counts = counts.withColumn(f"after_{stage}", F.floor(total).cast("long"))
+    return counts.withColumn("estimate", F.floor(total * kept).cast("long"))

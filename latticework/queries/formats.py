@@ -186,6 +186,7 @@ def _offer() -> None:
     plugins.register_backend("twice", energies=lambda b: b["p_size"] * 9.0)
     plugins.register_backend("twice", energies=lambda b: b["p_size"] * -0.5, descriptors=lambda b: [np.outer(range(1 + s % 3), [1.0, s]) for s in b["p_size"]], confidence=lambda b: [[s / 10, s / 20] for s in b["p_size"]], train=lambda b: b)
     plugins.register_backend("once", energies=lambda b: b["p_size"] * -0.25, gradients=lambda b: b, compile=lambda b: b)
+    plugins.register_backend("walk", frames=lambda b: [[s * 0.5 * i for i in range(3)] for s in b["p_size"]])
     plugins.register_backend("ready", pretrained=lambda name: name)
 
     def breaks(b):
@@ -214,6 +215,12 @@ def described_by_a_backend(spark: SparkSession, d: str) -> DataFrame:
     return plugins.describe(table(spark, d, "part"), "twice", ["p_size"], "p_partkey").select("p_partkey", "atom_idx", e[0].cast("double").alias("e1"), e[1].cast("double").alias("e2"))
 
 
+@query("select p_partkey, i::int as frame, p_size * 0.5 * i as energy from part, (select unnest(range(3)) as i)")
+def simulated_frames(spark: SparkSession, d: str) -> DataFrame:
+    _offer()
+    return plugins.trajectories(table(spark, d, "part"), "walk", ["p_size"], "p_partkey")
+
+
 @query("select p_partkey, p_size / 10.0::double as confidence from part")
 def confidence_of_a_backend(spark: SparkSession, d: str) -> DataFrame:
     _offer()

@@ -185,3 +185,46 @@ def vacuum_adjusted(spark: SparkSession, d: str) -> DataFrame:
     cell = F.col("p_size") + 12.0
     height = adjusted_height(cell, top, F.lit(12.0), 0.5)
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(height, 6).alias("height"), (height != cell).alias("changed"))
+
+
+@query(f"with q as (select distinct {KEY} as key from structures where {KEY} is not null), x as (select distinct {KEY} as key from dft_runs where lower(trim(status)) = 'finished' and {KEY} is not null) select key from q where key not in (select key from x) order by key limit 40")
+def next_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The next forty structures to label, with sixty places taken of a hundred."""
+    q = table(spark, d, "structures").select(id_key("atl_id").alias("key")).where("key is not null")
+    done = table(spark, d, "dft_runs").where(F.lower(F.trim("status")) == "finished").select(id_key("atl_id").alias("key")).where("key is not null")
+    return runs.next_batch(q, done, "key", [], 60, 100)
+
+
+@query("select s_suppkey as id, coalesce(case when s_suppkey % 3 > 0 then s_suppkey % 7 end, 0) + 2 <= 6 as has_room from supplier")
+def scheduler_room(spark: SparkSession, d: str) -> DataFrame:
+    load = F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 7)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), runs.has_room(load, F.lit(2), F.lit(6)).alias("has_room"))
+
+
+@query("select event_id, event_type || '_' || strftime(ts, '%Y%m%dT%H%M%S') || '_' || substr(md5(user_id::varchar || '|' || event_type), 1, 8) as name from events")
+def unique_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", runs.unique_name(F.col("event_type"), F.col("ts"), F.col("user_id"), F.col("event_type")).alias("name"))
+
+
+@query("select p_partkey as id, round(p_retailprice / 27.211386245988, 6) as energy, round(p_size / 27.211386245988, 6) as largest from part")
+def calculation_payloads(spark: SparkSession, d: str) -> DataFrame:
+    p = runs.payload(F.col("p_retailprice"), F.array(F.lit(0.5), -F.col("p_size").cast("double")), "Ha")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(p["energy"], 6).alias("energy"), F.round(p["largest"], 6).alias("largest"))
+
+
+@query("select l_orderkey as id, l_linenumber as line, round(sqrt((l_discount - 0.05) * (l_discount - 0.05) + (l_tax - 0.04) * (l_tax - 0.04)), 6) as miss, round(sqrt((l_discount - 0.05) * (l_discount - 0.05) + (l_tax - 0.04) * (l_tax - 0.04)), 9) <= 0.03 as reached from lineitem")
+def inversions_annotated(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").withColumn("tx", F.lit(0.05)).withColumn("ty", F.lit(0.04))
+    out = runs.annotated(li, ["tx", "ty"], ["l_discount", "l_tax"], 0.03 + 1e-9)
+    return out.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round("miss", 6).alias("miss"), "reached")
+
+
+@query("select w.name, (select model_path from al_iterations where regexp_extract(model_path, '[^/]*$') = w.name order by length(model_path), model_path limit 1) as path from (select unnest(['it_01.model', 'it_02.model', 'none.model']) as name) w")
+def located_files(spark: SparkSession, d: str) -> DataFrame:
+    return runs.located(table(spark, d, "al_iterations").where("model_path is not null"), "model_path", ["it_01.model", "it_02.model", "none.model"])
+
+
+@query("with c as (select lower(trim(phase)) as phase, count(*) as n from structures where phase is not null group by 1) select phase, n, n * 3 as after_rattle, floor(n * 4.5)::bigint as after_deform, floor(n * 4.5 * 0.8)::bigint as estimate from c")
+def dataset_sizes(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "structures").where("phase is not null").groupBy(F.lower(F.trim("phase")).alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+    return runs.dataset_size(c, "n", {"rattle": 2, "deform": 0.5}, 0.8)

@@ -12,6 +12,8 @@ import __spark_entry__ as entry
 from tests.conftest import SMALL
 from verify import compare
 
+#: Without a SQL twin: eigenvalues, triangulations and lattice arithmetic. Their rules have one (vendi_rules, hull_rules, cluster_sizes), and tests check the operators by brute force.
+NO_TWIN = {"cluster_atoms", "concave_hull", "diversity_growth", "optimised_hull", "slabs", "vendi_by_label", "vendi_subsampled"}
 CORE = sorted({k for m in entry._modules() if not m.__name__.startswith("latticework.llm") for k in m.QUERIES})
 
 
@@ -26,7 +28,11 @@ def con():
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 @pytest.mark.parametrize("name", CORE)
 def test_query(spark, con, name):
-    assert compare(spark, con, name, SMALL).startswith(("ok", "rows"))
+    told = compare(spark, con, name, SMALL)
+    if name in NO_TWIN:
+        assert told.startswith("rows") and not told.startswith("rows 0 ")
+    else:
+        assert told.startswith("ok"), told
 
 
 def test_entry(spark, small):
