@@ -11,20 +11,31 @@ from pyspark.sql import functions as F
 from latticework.functions import seeded
 
 
+def _together(atoms: DataFrame, radius: Column) -> DataFrame:
+    """(id, a): the atoms of each structure as one array, by one shuffle."""
+    one = F.struct("idx", "x", "y", "z", radius.cast("double").alias("r"))
+    return atoms.select("id", one.alias("a")).groupBy("id").agg(F.collect_list("a").alias("a"))
+
+
+def _distance(u: Column, v: Column) -> Column:
+    return F.sqrt(sum((u[c] - v[c]) * (u[c] - v[c]) for c in "xyz"))
+
+
 def pairs(atoms: DataFrame, radius: Column | None = None) -> DataFrame:
-    """(id, i, j, dist, and the radii ri, rj): ordered pairs of atoms of one structure."""
-    r = radius if radius is not None else F.lit(1.0)
-    side = atoms.withColumn("_r", r)
-    a = side.select("id", F.col("idx").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"], F.col("_r").alias("ri"))
-    b = side.select("id", F.col("idx").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"], F.col("_r").alias("rj"))
-    d2 = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz")
-    return a.join(b, "id").where("i != j").select("id", "i", "j", F.sqrt(d2).alias("dist"), "ri", "rj")
+    """(id, i, j, dist, and the radii ri, rj): ordered pairs of atoms of one structure.
+
+    A structure's atoms come together once and are unfolded twice, row by row; nothing is joined.
+    """
+    both = _together(atoms, radius if radius is not None else F.lit(1.0)).select("id", "a", F.explode("a").alias("u")).select("id", "u", F.explode("a").alias("v"))
+    u, v = F.col("u"), F.col("v")
+    return both.where(u["idx"] != v["idx"]).select("id", u["idx"].alias("i"), v["idx"].alias("j"), _distance(u, v).alias("dist"), u["r"].alias("ri"), v["r"].alias("rj"))
 
 
 def coordination(atoms: DataFrame, radius: Column, multiplier: float) -> DataFrame:
-    """(id, idx, coord): neighbours within multiplier times the sum of radii."""
-    near = pairs(atoms, radius).where(F.col("dist") <= multiplier * (F.col("ri") + F.col("rj"))).groupBy("id", F.col("i").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
-    return atoms.select("id", "idx").join(near, ["id", "idx"], "left").select("id", "idx", F.coalesce("n", F.lit(0)).alias("coord"))
+    """(id, idx, coord): neighbours within multiplier times the sum of radii; counted within each structure's array."""
+    near = lambda u: F.size(F.filter("a", lambda v: (v["idx"] != u["idx"]) & (_distance(u, v) <= multiplier * (u["r"] + v["r"]))))
+    each = F.transform("a", lambda u: F.struct(u["idx"].alias("idx"), near(u).cast("long").alias("coord")))
+    return _together(atoms, radius).select("id", F.explode(each).alias("c")).select("id", "c.idx", "c.coord")
 
 
 def neighbour_filters(atoms: DataFrame, radius: Column, multiplier: float, least: int = 0, low: int = 3, share: float = 0.5) -> DataFrame:

@@ -39,9 +39,14 @@ def best_model(results: DataFrame, energy: str, force: str, weight: float = 0.1,
     return results.join(F.broadcast(top)).withColumn("best", F.coalesce(F.struct(score, *ties) == F.col("k"), F.lit(False))).drop("k")
 
 
-def iqr_mask(df: DataFrame, value: str, by: list[str] | None = None, low: float = 0.3, high: float = 0.7, reach: float = 1.5) -> DataFrame:
-    """``kept``: the value within the fences of the 30 % and 70 % points, else null."""
-    q = df.groupBy(*(by or [])).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+def iqr_mask(df: DataFrame, value: str, by: list[str] | None = None, low: float = 0.3, high: float = 0.7, reach: float = 1.5, accuracy: int | None = None) -> DataFrame:
+    """``kept``: the value within the fences of the 30 % and 70 % points, else null.
+
+    The points are exact, for which a group's distinct values must fit one task; with ``accuracy`` they are off by at most n / accuracy ranks, for any group.
+    """
+    shares = F.array(F.lit(low), F.lit(high))
+    points = F.percentile(value, shares) if accuracy is None else F.percentile_approx(value, shares, accuracy)
+    q = df.groupBy(*(by or [])).agg(points.alias("_q"))
     joined = df.join(q, by) if by else df.join(F.broadcast(q))  # one row
     a, b = F.col("_q")[0], F.col("_q")[1]
     inside = (F.col(value) >= a - reach * (b - a)) & (F.col(value) <= b + reach * (b - a))

@@ -79,11 +79,13 @@ def test_bounding_points_are_points_of_the_data_and_weigh_all(spark):
     assert hulls.extremes(df, "x", "y").count() == 3000 and hulls.extremes(df.limit(0), "x", "y").count() == 0
 
 
-def test_mean_nearest_distance_of_all_points(spark):
+def test_mean_nearest_distance_of_all_points(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(200, 2)), rng.normal(50, 0.01, size=(50, 2)), [[900.0, 900.0]]])
     df = spark.createDataFrame([(float(a), float(b)) for a, b in np.concatenate([x, x[:20]])], "x double, y double")
     assert abs(hulls.mean_nearest(df, "x", "y") - hulls.nearest_distance(x)) < 1e-9
+    monkeypatch.setattr(hulls, "LIMIT", 10)
+    assert abs(hulls.mean_nearest(df, "x", "y") - hulls.nearest_distance(x)) < 1e-9
     assert hulls.mean_nearest(df.limit(0), "x", "y") == 0.0
 
 
