@@ -55,10 +55,13 @@ PROBES = 4
 #: Cells for n vectors: this times the root of n, as a power of two.
 CELLS = 4
 #: Stored and asking vectors that one task's block holds.
-BLOCK, QUERIES = 8_192, 32_768
+BLOCK, QUERIES = 8_192, 131_072
+#: Best-scored vectors of a cell that are reranked where no least similarity prunes.
 RERANK = 48
-#: Expected stored vectors of a group of cells.
-GROUP = 1_200
+#: Beyond the best k in single precision so many are ranked in double.
+SPARE = 4
+#: Expected stored vectors of a group of cells, for every EACH cells looked into.
+GROUP, EACH = 1_200, 8
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -127,18 +130,18 @@ class Index:
         n = len(x)
         codes = np.zeros((n, 1, 0), np.int64)
         cost = np.zeros((n, 1), np.float32)  # |sum|^2 - 2 rest.sum
-        cross = np.zeros((n, 1, LEVELS * WORDS), np.float32)  # sum . every word
         for m in range(LEVELS):
             s = slice(m * WORDS, (m + 1) * WORDS)
-            new = cost[:, :, None] - 2 * dot[:, None, s] + 2 * cross[:, :, s] + own[s]
+            products = np.ascontiguousarray(2 * gram[:, s])  # of every word with this level's words
+            new = (own[s] - 2 * dot[:, s])[:, None] + cost[:, :, None]
+            for j in range(m):
+                new += products[j * WORDS + codes[:, :, j]]
             flatnew = new.reshape(n, -1)
             b = min(BEAM, flatnew.shape[1]) if m < LEVELS - 1 else 1
             best = np.argpartition(flatnew, b - 1, axis=1)[:, :b]
             cost = np.take_along_axis(flatnew, best, 1)
             beam, word = best // WORDS, best % WORDS
             codes = np.concatenate([np.take_along_axis(codes, beam[:, :, None], 1), word[:, :, None]], 2)
-            if m < LEVELS - 1:
-                cross = np.take_along_axis(cross, beam[:, :, None], 1) + gram[m * WORDS + word]
         return codes[:, 0]
 
     def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -196,8 +199,8 @@ def _assign(index, least: float | None, probes: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for f in frames:
-            for s in range(0, len(f), 4_096):
-                g = f.iloc[s : s + 4_096]
+            for s in range(0, len(f), 2_048):
+                g = f.iloc[s : s + 2_048]
                 x = normalised(_unpack(g["vec"]))
                 near = ix.probe(x, probes)
                 own = near[:, 0]
@@ -260,6 +263,17 @@ def _search(index, least: float | None, k: int) -> Callable:
         pos = np.arange(len(a))
         return order[pos - np.maximum.accumulate(np.where(first, pos, 0)) < k]
 
+    def rerank(x: np.ndarray, y: np.ndarray, b: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, stored) places of the best k and a few more of each query's candidates b, in single precision."""
+        sim = np.empty(b.shape, np.float32)
+        step = max(1, 60_000 // len(b))
+        for t in range(0, b.shape[1], step):
+            u = slice(t, t + step)
+            sim[:, u] = np.einsum("rqd,qd->rq", x[b[:, u]], y[u])
+        sim[own] = -2
+        top = np.argpartition(-sim, min(k + SPARE, len(b)) - 1, axis=0)[: k + SPARE]
+        return np.tile(np.arange(b.shape[1]), len(top)), np.take_along_axis(b, top, 0).ravel()
+
     def one(ix: Index, c: int, q, who, rows, x, ids, codes, norm, floor) -> list[pd.DataFrame]:
         flat = ix.words.reshape(LEVELS * WORDS, -1)
         out, step = [], max(16, 4_000_000 // len(x))
@@ -273,9 +287,8 @@ def _search(index, least: float | None, k: int) -> Callable:
                 b, a = np.nonzero(score >= floor[:, None])
             else:
                 score /= norm[:, None]
-                r = min(RERANK, len(x))
-                b = np.argpartition(-score, r - 1, axis=0)[:r].ravel()
-                a = np.tile(np.arange(len(y)), r)
+                b = np.argpartition(-score, min(RERANK, len(x)) - 1, axis=0)[:RERANK]
+                a, b = rerank(x, y, b, ids[b] == name)
             other = ids[b] != name[a]
             a, b = a[other], b[other]
             if least is not None:  # in single precision first, with room for its error
@@ -333,7 +346,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     # expected stored and asking rows, from the sample
     near = index.probe(x, probes)
     held = np.bincount(near[:, 0], minlength=len(index.cells)) * (n / len(x))
-    index.join(held, GROUP)
+    index.join(held, GROUP * -(-probes // EACH))
     groups = int(index.group.max()) + 1
     asked = np.bincount(index.group[near].ravel(), minlength=groups) * (n / len(x))
     index_b = spark.sparkContext.broadcast(index)
@@ -368,7 +381,9 @@ def _classes(held: DataFrame, name: Callable = _name) -> tuple[DataFrame, DataFr
 def nearest(rows: DataFrame, k: int = 5, least: float | None = None, probes: int = PROBES) -> DataFrame:
     """(key, other, sim, rank): for each id its k most similar other ids, if at least ``least`` similar."""
     held, sizes = _classes(materialise(vectors(rows), "vectors"))
-    edges = class_edges(sizes.select("cls", "vec"), k, least, probes).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    # by a once: pairs found from both sides become one, and of each class's others only those that can be among its k best go on
+    edges = class_edges(sizes.select("cls", "vec"), k, least, probes).repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    edges = edges.withColumn("nth", F.rank().over(Window.partitionBy("a").orderBy(F.desc("sim")))).where(F.col("nth") <= k).drop("nth")
     ids = held.select("cls", "key")
     firsts = ids.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("key"))).where(F.col("nth") <= k + 1)
     firsts = materialise(firsts.join(sizes.select("cls", "m"), "cls"), "firsts")
