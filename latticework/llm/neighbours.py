@@ -334,7 +334,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     spark = classes.sparkSession
     n = classes.count()
     sample = sample or (SAMPLE if n <= COUNT else LARGE_SAMPLE)
-    share = min(1.0, 2.0 * sample / max(n, 1))
+    share = min(1.0, (sample + 8 * math.sqrt(sample)) / max(n, 1))
     mark = F.xxhash64(F.lit(1), "cls")
     rows = classes.where(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
     taken = rows.orderBy(mark).select("vec").limit(sample).collect()
@@ -348,7 +348,9 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     held = np.bincount(near[:, 0], minlength=len(index.cells)) * (n / len(x))
     index.join(held, GROUP * -(-probes // EACH))
     groups = int(index.group.max()) + 1
-    asked = np.bincount(index.group[near].ravel(), minlength=groups) * (n / len(x))
+    into = np.sort(index.group[near], axis=1)  # a row is sent once a group, however many cells of it are looked into
+    into = into[np.concatenate([np.ones((len(x), 1), bool), into[:, 1:] != into[:, :-1]], axis=1)]
+    asked = np.bincount(into, minlength=groups) * (n / len(x))
     index_b = spark.sparkContext.broadcast(index)
     both = classes.mapInPandas(_assign(index_b, least, probes), ROW)
     if n > COUNT or np.bincount(index.group, held).max() > BLOCK // 2 or asked.max() > QUERIES // 2:
@@ -372,8 +374,8 @@ def _classes(held: DataFrame, name: Callable = _name) -> tuple[DataFrame, DataFr
     """
     for seed in range(8):
         named = held.withColumn("cls", name(seed))
-        sizes = materialise(named.groupBy("cls").agg(F.min("vec").alias("vec"), F.max("vec").alias("other"), F.count(F.lit(1)).alias("m")), "classes")
-        if sizes.where("vec != other").isEmpty():
+        sizes = materialise(named.groupBy("cls").agg(F.min("vec").alias("vec"), (F.min("vec") != F.max("vec")).alias("clash"), F.count(F.lit(1)).alias("m")), "classes")
+        if sizes.where("clash").isEmpty():
             return named, sizes
     raise ValueError("too many vectors for hashes of 64 bits")
 
