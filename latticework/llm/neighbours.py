@@ -99,9 +99,9 @@ class Index:
             rest = rest - words[m][cls._nearest(rest, words[m])]
         return cls(cells, words, np.arange(len(cells)))
 
-    def join(self, expected: np.ndarray, most: float, seed: int = 7) -> None:
-        """Put cells that lie near each other into groups of at most ``most`` expected vectors (or one cell)."""
-        near = _kmeans(self.cells, max(1, len(self.cells) // 16), 8, np.random.default_rng(seed))
+    def join(self, expected: np.ndarray, most: float, together: int = 16, seed: int = 7) -> None:
+        """Put cells that lie near each other, about ``together``, into groups of at most ``most`` expected vectors (or one cell)."""
+        near = _kmeans(self.cells, max(1, len(self.cells) // together), 8, np.random.default_rng(seed))
         home = self._nearest(self.cells, near)
         held, group = {}, -1
         for c in np.lexsort((np.arange(len(home)), home)):
@@ -225,7 +225,7 @@ def _assign(index, least: float | None, probes: int) -> Callable:
 
 
 def _search(index, least: float | None, k: int) -> Callable:
-    """All stored vectors of a group and all that look into it -> (a, b, similarity): for each that looks, its k best.
+    """All stored vectors of a group and all that look into it -> (a, b, similarity): for each that looks, its k best, with a least similarity of each cell.
 
     The stored vectors look too, unless the group was cut; then they come as rows of their own.
     """
@@ -250,6 +250,8 @@ def _search(index, least: float | None, k: int) -> Callable:
             if len(rows):
                 at = np.flatnonzero(cell == c)
                 out += one(index.value, c, q, who, rows, x[at], ids[at], codes[at], norm[at], floor[at])
+        if least is not None:  # few: the best of each cell, which may count for the other side
+            return pd.concat(out, ignore_index=True)
         a, b, sim = (np.concatenate([o[n].to_numpy() for o in out]) for n in ("a", "b", "sim"))
         keep = best(a, b, sim)
         return pd.DataFrame({"a": a[keep], "b": b[keep], "sim": sim[keep]})
