@@ -62,6 +62,22 @@ RERANK = 48
 SPARE = 4
 #: Expected stored vectors of a group of cells, for every EACH cells looked into.
 GROUP, EACH = 1_200, 8
+#: Products of vectors with cells or words that are held at once, whatever their numbers.
+HELD = 4_000_000
+
+
+def _scores(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, scores) of blocks of x: the larger the score with a row of c, the nearer it is."""
+    half, step = 0.5 * (c * c).sum(1), max(1, HELD // max(len(c), 1))
+    for s in range(0, len(x), step):
+        yield slice(s, s + step), x[s : s + step] @ c.T - half
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    near = np.empty(len(x), np.int64)
+    for rows, score in _scores(x, c):
+        near[rows] = np.argmax(score, 1)
+    return near
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -69,7 +85,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     if len(c) < k:
         c = np.concatenate([c, np.repeat(c[:1], k - len(c), 0) + rng.normal(0, 1e-3, (k - len(c), x.shape[1])).astype(np.float32)])
     for _ in range(rounds):
-        near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), 1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=k)
         order = np.argsort(near, kind="stable")
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -110,16 +126,17 @@ class Index:
             held["n"] += expected[c]
             self.group[c] = group
 
-    @staticmethod
-    def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.argmax(x @ c.T - 0.5 * (c * c).sum(1), 1)
+    _nearest = staticmethod(_nearest)
 
     def probe(self, x: np.ndarray, p: int) -> np.ndarray:
         """The p nearest cells (n x p), the nearest first."""
         p = min(p, len(self.cells))
-        score = x @ self.cells.T - 0.5 * (self.cells * self.cells).sum(1)
-        best = np.argpartition(-score, p - 1, axis=1)[:, :p]
-        return np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+        near = np.empty((len(x), p), np.int64)
+        for rows, score in _scores(x, self.cells):
+            np.negative(score, out=score)
+            best = np.argpartition(score, p - 1, axis=1)[:, :p]
+            near[rows] = np.take_along_axis(best, np.argsort(np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
+        return near
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Beam search: the codes (n x LEVELS) whose words best sum up to x less its cell."""
@@ -343,6 +360,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     if not taken:
         return spark.createDataFrame([], "a long, b long, sim double")
     x = normalised(np.frombuffer(b"".join(bytes(r[0]) for r in taken), "<f4").reshape(len(taken), -1))
+    del taken
     n_cells = cells or 2 ** max(0, round(math.log2(max(CELLS * math.sqrt(n), 1))))
     index = Index.fit(x, min(n_cells, max(1, len(x) // 4)))
     # expected stored and asking rows, from the sample

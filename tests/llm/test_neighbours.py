@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
@@ -129,3 +130,16 @@ def test_beam_beats_the_greedy_choice():
     for m in range(N.LEVELS):
         rest = rest - ix.words[m][N.Index._nearest(rest, ix.words[m])]
     assert (wide**2).sum() < (rest**2).sum()
+
+
+def test_the_fit_holds_few_products_at_once():
+    x = N.normalised(np.random.default_rng(9).normal(size=(16_000, 64)).astype(np.float32))
+    whole = lambda c: x @ c.T - 0.5 * (c * c).sum(1)
+    tracemalloc.start()
+    ix = N.Index.fit(x, 2_000)
+    near = ix.probe(x, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all products of the vectors with the cells at once are 128 MB, and several of them were held
+    score = whole(ix.cells)
+    assert (near[:, 0] == score.argmax(1)).mean() > 0.999 and np.allclose(np.take_along_axis(score, near, 1), -np.sort(-score, 1)[:, :4], atol=1e-5)
