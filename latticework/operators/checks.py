@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import permutations, product
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.atoms import pairs
+from latticework.session import spread
 
 
 def along(normal: tuple[float, float, float]) -> Column:
@@ -212,15 +214,31 @@ def wulff(n: int, spacing: float, energies: dict[tuple[int, int, int], float] |
     return pd.DataFrame({"idx": range(n), "x": near[:, 0], "y": near[:, 1], "z": near[:, 2]})
 
 
-def clusters(spark, requests: DataFrame, spacing: float, shape: str = "sphere") -> DataFrame:
-    """(id, idx, element, x, y, z) of one cluster per request (id, element, n): a sphere or a Wulff shape."""
+@lru_cache(maxsize=64)
+def _wulff(n: int, spacing: float) -> pd.DataFrame:
+    """A Wulff shape depends on its size alone; clusters up to this many sizes apart are built once a worker."""
+    return wulff(n, spacing)
+
+
+def cluster_arrays(requests: DataFrame, spacing: float, shape: str = "sphere") -> DataFrame:
+    """(id, element, n, x, y, z) of one cluster per request (id, element, n), its atoms' places as arrays: a sphere or a Wulff shape."""
 
     def run(frames):
         for f in frames:
-            for r in f.itertuples():
-                yield (sphere(int(r.n), spacing, int(r.id)) if shape == "sphere" else wulff(int(r.n), spacing)).assign(id=r.id, element=r.element)[["id", "idx", "element", "x", "y", "z"]]
+            if shape == "sphere":
+                at = [sphere(int(n), spacing, int(i)) for i, n in zip(f["id"], f["n"], strict=True)]
+            else:
+                at = [_wulff(int(n), spacing) for n in f["n"]]
+            yield f.assign(**{c: [p[c].to_numpy() for p in at] for c in "xyz"})
 
-    return requests.select(F.col("id").cast("long").alias("id"), "element", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").mapInPandas(run, "id long, idx int, element string, x double, y double, z double")
+    work = spread(requests.select(F.col("id").cast("long").alias("id"), "element", F.col("n").cast("long").alias("n")))
+    return work.mapInPandas(run, "id long, element string, n long, x array<double>, y array<double>, z array<double>")
+
+
+def clusters(spark, requests: DataFrame, spacing: float, shape: str = "sphere") -> DataFrame:
+    """(id, idx, element, x, y, z) of one cluster per request (id, element, n): a sphere or a Wulff shape."""
+    atoms = cluster_arrays(requests, spacing, shape).select("id", "element", F.posexplode(F.arrays_zip("x", "y", "z")).alias("idx", "p"))
+    return atoms.select("id", "idx", "element", "p.x", "p.y", "p.z")
 
 
 def with_adsorbate(atoms: DataFrame, exposed_atoms: DataFrame, element: str, height: float, seed: int) -> DataFrame:

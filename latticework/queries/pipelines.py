@@ -57,11 +57,9 @@ def generation_stages(spark: SparkSession, d: str) -> DataFrame:
 def wulff_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of a Wulff shape: their atoms and the distance of nearest neighbours."""
     req = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Cu").alias("element"), (F.col("p_size") + 12).alias("n"))
-    at = C.clusters(spark, req, 2.55, "wulff")
-    first = at.where("idx = 0").select("id", *[F.col(c).alias(f"{c}0") for c in "xyz"])
-    d2 = sum((F.col(c) - F.col(f"{c}0")) * (F.col(c) - F.col(f"{c}0")) for c in "xyz")
-    both = at.join(first, "id").withColumn("d", F.when(F.col("idx") > 0, F.sqrt(d2)))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("d"), 6).alias("nearest"))
+    at = C.cluster_arrays(req, 2.55, "wulff")  # a cluster is one row: nothing is shuffled
+    d = F.transform(F.arrays_zip("x", "y", "z"), lambda p, i: F.when(i > 0, F.sqrt(sum((p[c] - F.col(c)[0]) * (p[c] - F.col(c)[0]) for c in "xyz"))))
+    return at.select("id", F.size("x").cast("long").alias("n"), F.round(F.array_min(d), 6).alias("nearest"))
 
 
 def _map(spark: SparkSession, d: str) -> tuple[DataFrame, maps.Axes, list]:

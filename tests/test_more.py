@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from latticework import session
 from latticework.functions import config, geometry, plugins
 from latticework.operators import atoms, builders, checks, diversity, graphs, hulls, latent, repeats, runs
@@ -214,6 +215,19 @@ def test_wulff_shapes():
     assert len(checks.wulff(1, 2.5)) == 1 and np.allclose(checks.wulff(201, 2.5)[["x", "y", "z"]].sum(), 0)
 
 
+def test_clusters_of_one_size_are_built_once_and_stay_whole_rows(spark, small):
+    checks._wulff.cache_clear()
+    assert checks._wulff(20, 2.5) is checks._wulff(20, 2.5) and checks._wulff.cache_info().misses == 1
+    req = spark.createDataFrame([(i, "Cu", 13 + i % 3) for i in range(30)], "id int, element string, n int")
+    got = checks.clusters(spark, req, 2.5, "wulff").orderBy("id", "idx").toPandas()
+    for i, g in got.groupby("id"):
+        assert np.allclose(g[["x", "y", "z"]], checks.wulff(13 + i % 3, 2.5)[["x", "y", "z"]]) and g["idx"].tolist() == list(range(13 + i % 3))
+    balls = checks.clusters(spark, req.where("id = 7"), 2.5).orderBy("idx").toPandas()
+    assert np.allclose(balls[["x", "y", "z"]], checks.sphere(14, 2.5, 7)[["x", "y", "z"]])
+    plan = entry.queries()["wulff_clusters"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_generation_stages(spark):
     rows = [(i, f"p{i % 2}", k, "Ni" if k else "Ti", 1.5 * k, 0.0, 0.0) for i in range(6) for k in range(2)]
     proto = spark.createDataFrame(rows, "id int, phase string, idx int, element string, x double, y double, z double")
