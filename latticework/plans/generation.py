@@ -41,15 +41,18 @@ def expanded(atoms: DataFrame, repeats: int, length: Column) -> DataFrame:
 
 def bulk_variants(prototypes: DataFrame, length: Column, s: Settings) -> DataFrame:
     """(id, copy, idx, element, x, y, z): supercells of prototypes up to a size, with replaced atoms, each in several rattled copies."""
-    cells = expanded(prototypes, s.repeats, length)
-    small = cells.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= s.most_atoms).select("id")
-    cells = cells.join(small, "id", "left_semi")
+    cells = expanded(prototypes.join(fitting(prototypes, s), "id", "left_semi"), s.repeats, length)
     if s.replace:
         old, new, count = s.replace
         cells = A.replaced(cells, old, new, F.lit(count), s.seed)
     return A.rattled(cells, s.copies, s.rattle, s.seed)
 
 
+def fitting(prototypes: DataFrame, s: Settings) -> DataFrame:
+    """(id): the prototypes whose supercells have at most ``most_atoms`` atoms, counted before they are repeated."""
+    return prototypes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * s.repeats**3 <= s.most_atoms).select("id")
+
+
 def symmetrical(atoms: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """One atom of each set that inversion through the centre of the atoms maps on another of the same element: (id, idx, paired)."""
     w = [F.avg(c).alias(f"m{c}") for c in "xyz"]
@@ -82,30 +85,44 @@ def capped(structures: DataFrame, by: str, most: int, seed: int) -> DataFrame:
 def generate(prototypes: DataFrame, length: Column, radius: Column, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(atoms with phase, report): bulk supercells, vacancies without fragments, a limit per phase, adsorbates; and the structures after each stage.
 
-    ``prototypes`` (id, phase, idx, element, x, y, z).
+    ``prototypes`` (id, phase, idx, element, x, y, z). A stage stores only the names of its structures: all draws are seeded by
+    a structure's own names, so the atoms of those that are left at the end are made once, from their prototypes, and stored then.
     """
     from latticework.session import materialise
 
-    phases = prototypes.select("id", "phase").distinct()
     key = F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))
     stages = []
 
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        df = materialise(df, name)
-        stages.append(df.groupBy("phase").agg(F.countDistinct("id").alias("n")).withColumn("stage", F.lit(name)))
-        return df
+    def counted(name: str, names: DataFrame) -> None:
+        stages.append(names.groupBy("phase").agg(F.countDistinct("id").alias("n")).withColumn("stage", F.lit(name)))
+
+    def bulk(left: DataFrame) -> DataFrame:
+        of = prototypes.drop("phase").join(left.select(F.col("of").alias("id")).distinct(), "id", "left_semi")
+        return bulk_variants(of, length, s).withColumn("id", key).drop("copy").join(left.select("id"), "id", "left_semi")
 
-    bulk = bulk_variants(prototypes.drop("phase"), length, s).join(phases, "id")
-    held = stored("bulk", bulk.withColumn("id", key).drop("copy"))
-    names = held.select("id", "phase").distinct()
+    prototypes = materialise(prototypes, "prototypes")
+    phases = prototypes.select("id", "phase").distinct()
+    names = fitting(prototypes, s).join(phases, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(s.copies))))
+    names = materialise(names.select(F.col("id").alias("of"), key.alias("id"), "phase"), "bulk")
+    counted("bulk", names)
     if s.vacancies:
-        held = stored("vacancies", vacancies(held.drop("phase"), radius, *s.vacancies, s.seed, s.whole).join(names, "id"))
+        if s.whole is not None:  # else every structure keeps an atom, so all go on
+            fine = checks.fragments(A.with_vacancies(bulk(names), *s.vacancies, s.seed), radius, 1.1).where(F.col("largest_fraction") >= s.whole)
+            names = materialise(names.join(fine.select("id"), "id", "left_semi"), "vacancies")
+        counted("vacancies", names)
     if s.per_phase is not None:
-        held = stored("limit", capped(held, "phase", s.per_phase, s.seed))
+        names = materialise(capped(names, "phase", s.per_phase, s.seed), "limit")
+        counted("limit", names)
+    held = bulk(names)
+    if s.vacancies:
+        held = vacancies(held, radius, *s.vacancies, s.seed, None)
     if s.adsorbate:
         element, height, lateral = s.adsorbate
-        bare = held.drop("phase")
-        held = stored("adsorbates", checks.with_adsorbate(bare, A.exposed(bare, lateral), element, height, s.seed).join(names, "id"))
+        held = materialise(held, "held")
+        held = checks.with_adsorbate(held, A.exposed(held, lateral), element, height, s.seed)
+    held = materialise(held.join(names.select("id", "phase").distinct(), "id"), "generated")
+    if s.adsorbate:
+        counted("adsorbates", held)
     report = stages[0]
     for st in stages[1:]:
         report = report.unionByName(st)

@@ -241,6 +241,27 @@ def test_generation_stages(spark):
     assert {r["idx"] for r in generation.symmetrical(far).where("id = 2 and paired").collect()} == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("whole", [None, 0.9])
+def test_generation_stores_names_and_only_the_atoms_that_are_left(spark, monkeypatch, whole):
+    rows = [(i, f"p{i % 2}", k, "Ni" if k else "Ti", 1.5 * k, 0.3 * i, 0.0) for i in range(20) for k in range(1 + i % 3)]
+    proto = spark.createDataFrame(rows, "id int, phase string, idx int, element string, x double, y double, z double")
+    s = generation.Settings(repeats=2, most_atoms=16, replace=("Ni", "Cu", 1), copies=2, vacancies=(0.1, 0.3), whole=whole, per_phase=3, adsorbate=("O", 1.5, 1.0), seed=5)
+    size, radius, key = F.lit(2.6), F.lit(1.2), F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string"))
+    bulk = generation.bulk_variants(proto.drop("phase"), size, s).join(proto.select("id", "phase").distinct(), "id").withColumn("id", key).drop("copy")
+    names = bulk.select("id", "phase").distinct()
+    left = generation.vacancies(bulk.drop("phase"), radius, 0.1, 0.3, 5, whole).join(names, "id")
+    some = generation.capped(left, "phase", 3, 5).drop("phase")
+    want = checks.with_adsorbate(some, atoms.exposed(some, 1.0), "O", 1.5, 5).join(names, "id")
+    counts = {(n, r["phase"]): r["n"] for n, d in (("bulk", bulk), ("vacancies", left), ("limit", want), ("adsorbates", want)) for r in d.groupBy("phase").agg(F.countDistinct("id").alias("n")).collect()}
+    stored, write = [], session.materialise
+    monkeypatch.setattr(session, "materialise", lambda df, name="stage": stored.append(write(df, name)) or stored[-1])
+    held, report = generation.generate(proto, size, radius, s)
+    cols = ["id", "phase", "idx", "element", "x", "y", "z"]
+    assert sorted(map(tuple, held.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert {(r["stage"], r["phase"]): r["n"] for r in report.collect()} == counts
+    assert all(df.count() <= held.count() for df in stored if "x" in df.columns)
+
+
 def test_meshes_of_oblique_cells(spark):
     cell = F.array(*[F.lit(float(x)) for x in (2, 0, 0, -1, math.sqrt(3), 0, 0, 0, 4)])
     r = one(spark, atoms.reciprocal_lengths(cell).alias("r"), atoms.kmesh(atoms.reciprocal_lengths(cell), 0.2, F.lit(2)).alias("k"))
