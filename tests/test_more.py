@@ -262,6 +262,20 @@ def test_generation_stores_names_and_only_the_atoms_that_are_left(spark, monkeyp
     assert all(df.count() <= held.count() for df in stored if "x" in df.columns)
 
 
+def test_vendi_score_of_a_plane_without_eigenvalues(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1_000, 2)), 0.1 * rng.normal(size=(500, 2)) + 3, rng.uniform(-4, 4, (100, 2)), np.full((20, 2), 0.5)])
+    for sigma in (0.01, 0.03):
+        monkeypatch.setattr(diversity, "PLANE", len(x))
+        want = diversity.vendi_rbf(x, sigma)
+        monkeypatch.setattr(diversity, "PLANE", 0)
+        monkeypatch.setattr(diversity.np.linalg, "eigvalsh", None)
+        assert abs(diversity.vendi_rbf(x, sigma) / want - 1) < 1e-8
+        monkeypatch.undo()
+    wide = x[:200]
+    assert diversity._vendi_plane(wide, 50.0) is None and diversity.vendi_rbf(wide, 50.0) >= 1
+
+
 def test_meshes_of_oblique_cells(spark):
     cell = F.array(*[F.lit(float(x)) for x in (2, 0, 0, -1, math.sqrt(3), 0, 0, 0, 4)])
     r = one(spark, atoms.reciprocal_lengths(cell).alias("r"), atoms.kmesh(atoms.reciprocal_lengths(cell), 0.2, F.lit(2)).alias("k"))
