@@ -329,19 +329,21 @@ def _search(index, least: float | None, k: int) -> Callable:
 
 
 def _blocks(both: DataFrame) -> DataFrame:
-    """A ``part`` for each row; groups too large for one task are cut on both sides, and every block meets every other."""
+    """A ``part`` for each row; groups too large for one task are cut on both sides, and every block meets every other.
+
+    ``both`` is made twice, once to be counted: stored, it would be several times the vectors.
+    """
     counts = both.groupBy("bucket").agg(F.sum((~F.col("role")).cast("long")).alias("n"), F.count(F.lit(1)).alias("m"))
     large = counts.where((F.col("n") > BLOCK) | (F.col("m") > QUERIES))
     large = large.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / QUERIES).cast("int").alias("mb"))
     large = materialise(large, "large")
     if large.isEmpty():
         return _whole(both)
-    both = both.unionByName(both.where("not role").join(large.select("bucket"), "bucket", "left_semi").withColumn("role", F.lit(True)))
+    cut = both.join(F.broadcast(large), "bucket", "left").withColumn("cut", F.col("nb").isNotNull() & (F.col("nb") > 0)).withColumn("known", F.col("nb").isNotNull()).fillna(1, ["nb", "mb"])  # groups are no more than cells
+    cut = cut.withColumn("role", F.explode(F.expr("if(role or not known, array(role), array(false, true))"))).withColumn("nb", F.greatest("nb", F.lit(1)))
     own = F.expr("pmod(hash(cls), if(role, mb, nb))")
     parts = F.expr("if(role, transform(sequence(0, nb - 1), i -> i * mb + own), transform(sequence(0, mb - 1), j -> own * mb + j))")
-    cut = both.join(large, "bucket", "left").withColumn("cut", F.col("nb").isNotNull() & (F.col("nb") > 0)).fillna(1, ["nb", "mb"])
-    cut = cut.withColumn("nb", F.greatest("nb", F.lit(1)))
-    return cut.withColumn("own", own).withColumn("part", F.explode(parts)).drop("own", "nb", "mb")
+    return cut.withColumn("own", own).withColumn("part", F.explode(parts)).drop("own", "nb", "mb", "known")
 
 
 def _whole(both: DataFrame) -> DataFrame:
@@ -374,7 +376,7 @@ def class_edges(classes: DataFrame, k: int, least: float | None, probes: int = P
     index_b = spark.sparkContext.broadcast(index)
     both = classes.mapInPandas(_assign(index_b, least, probes), ROW)
     if n > COUNT or np.bincount(index.group, held).max() > BLOCK // 2 or asked.max() > QUERIES // 2:
-        cut = _blocks(materialise(both, "cells"))
+        cut = _blocks(both)
     else:
         cut = _whole(both)
     # stated: the work is not in the bytes

@@ -143,3 +143,14 @@ def test_the_fit_holds_few_products_at_once():
     assert peak < 100e6  # all products of the vectors with the cells at once are 128 MB, and several of them were held
     score = whole(ix.cells)
     assert (near[:, 0] == score.argmax(1)).mean() > 0.999 and np.allclose(np.take_along_axis(score, near, 1), -np.sort(-score, 1)[:, :4], atol=1e-5)
+
+
+def test_dealt_rows_are_counted_and_not_stored(spark, monkeypatch):
+    for name, value in (("COUNT", 2), ("BLOCK", 50), ("QUERIES", 200)):
+        monkeypatch.setattr(N, name, value)
+    stored, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name="stage": stored.append(df.columns) or write(df, name))
+    x = np.random.default_rng(10).normal(size=(200, 64)).astype(np.float32)
+    classes = write(spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "cls long, vec binary"), "classes")
+    assert N.class_edges(classes, 5, 0.3, 8).count() > 0
+    assert stored and not any("vec" in c for c in stored)
